@@ -99,7 +99,7 @@ def ordered_buckets(df: DataFrame, key: str, size: Column, bucket_bytes: int = B
     n = max(1, min(int(-(-(total.b or 0) // bucket_bytes)), total.n or 1, 100_000))
     if n == 1:
         return F.lit(0), 1
-    cuts = df.agg(F.percentile_approx(k, [i / n for i in range(1, n)], 100 * n).alias("q")).first().q
+    cuts = df.agg(F.percentile_approx(k, [i / n for i in range(1, n)], min(100 * n, 1_000_000)).alias("q")).first().q
     cuts = sorted(set(cuts or []))
     if not cuts:
         return F.lit(0), 1

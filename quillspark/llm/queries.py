@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, decontaminate, quality, simhash, toxicity, warc
+from quillspark.llm import bpe, decontaminate, digest, quality, simhash, tokenfile, toxicity, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -40,6 +40,10 @@ def op3_seeded_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.neighbour_report(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,10 @@ def op6_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_chain, op2_content_addressed_warc, op3_seeded_decontamination, op5_simhash_pigeonring, op6_bpe_rank_array, op7_neighbour_quality)}
+def op8_directly_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.file_round_trip(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity_chain, op2_content_addressed_warc, op3_seeded_decontamination, op4_improbable_features, op5_simhash_pigeonring, op6_bpe_rank_array, op7_neighbour_quality, op8_directly_addressable_codes)}
 
 ORACLES: dict[str, str] = {}
