@@ -25,6 +25,8 @@ from quillspark.llm.common import batch_of, small_batches, stored, text_or_empty
 PER_CLASS = 3000
 FEATURES = 600
 LEAST_DOCS = 4
+#: Log odds ratio of a feature in standard errors, at least.
+LEAST_Z = 2.5
 FOLDS = 5
 THRESHOLD = 0.5
 #: The chain of the registered query, in order: name -> condition on a row of labels.
@@ -131,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGOR
     b = F.col("m") - F.col("a")
     odds = F.log((F.col("a") + 0.5) * (n - p - b + 0.5) / ((b + 0.5) * (p - F.col("a") + 0.5)))
     error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (b + 0.5) + 1 / (p - F.col("a") + 0.5) + 1 / (n - p - b + 0.5))
-    best = counted.filter(F.col("m") >= LEAST_DOCS).orderBy(F.abs(odds / error).desc(), "kind", "token").limit(features).collect()
+    best = counted.filter((F.col("m") >= LEAST_DOCS) & (F.abs(odds / error) >= LEAST_Z)).orderBy(F.abs(odds / error).desc(), "kind", "token").limit(features).collect()
     vocab: tuple[dict, dict, dict] = ({}, {}, {})
     for i, r in enumerate(best):
         vocab[r.kind][bytes(r.token)] = i
