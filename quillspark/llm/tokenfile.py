@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.bpe import WordCache
+from quillspark.llm.bpe import WordCache, byte_alphabet
 from quillspark.llm.common import batch_of, ordered_buckets, scratch_path, small_batches, text_or_empty
 
 CHUNK_BITS = 8
@@ -137,7 +138,9 @@ class WordTokenizer:
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.wide = regex.compile(r"[^\x00-ɏ]").search
         self.split = regex.compile(self.SPLIT).findall
-        self.cache = WordCache(lambda w: np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes())
+        # A word needs neither normaliser nor split any more: the library's model encodes it in its byte alphabet.
+        alphabet, merge = byte_alphabet(), self.library.model.tokenize
+        self.cache = WordCache(lambda w: array("I", [t.id for t in merge(w if w.isascii() else "".join([alphabet[b] for b in w.encode()]))]).tobytes())
         self.plain = self._splits_alike()
 
     def _splits_alike(self) -> bool:
