@@ -140,7 +140,7 @@ class WordTokenizer:
         self.split = regex.compile(self.SPLIT).findall
         # A word needs neither normaliser nor split any more: the library's model encodes it in its byte alphabet.
         alphabet, merge = byte_alphabet(), self.library.model.tokenize
-        self.cache = WordCache(lambda w: array("I", [t.id for t in merge(w if w.isascii() else "".join([alphabet[b] for b in w.encode()]))]).tobytes())
+        self.cache = WordCache(lambda w: array("I", [t.id for t in merge(w if w.isascii() and w.isprintable() else "".join([alphabet[b] for b in w.encode()]))]).tobytes())
         self.plain = self._splits_alike()
 
     def _splits_alike(self) -> bool:
