@@ -81,8 +81,14 @@ def first_object(c: Column) -> Column:
 
 def parse_json(c: Column) -> Column:
     """Canonical JSON text of a parsed answer: as it is, repaired, or its first object; null if none parses."""
-    tries = [c, repaired(c), first_object(c)]
-    return F.coalesce(*[F.to_json(F.try_parse_json(F.when(strip(t) != "", t))) for t in tries])
+
+
+    def whole(t: Column) -> Column:
+        """Parsed inside brackets, since the parser ignores what follows a complete value."""
+        v = F.try_parse_json(F.when(strip(t) != "", F.concat(F.lit("["), t, F.lit("]"))))
+        return F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), F.to_json(F.try_variant_get(v, "$[0]", "variant")))
+
+    return F.coalesce(whole(c), whole(repaired(c)), whole(first_object(c)))
 
 
 def repairs_needed(c: Column) -> Column:
