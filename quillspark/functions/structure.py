@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,9 +57,14 @@ def close_truncated(c: Column) -> Column:
 REPAIRS = {"fences": strip_fences, "literals": fix_literals, "single_quotes": fix_single_quotes, "bare_keys": fix_bare_keys, "trailing_commas": fix_trailing_commas, "truncated": close_truncated}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body with its argument evaluated once; plain nesting would repeat the value at each use and double the plan each time."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def repaired(c: Column) -> Column:
     for step in REPAIRS.values():
-        c = step(c)
+        c = let(c, step)
     return c
 
 
@@ -85,8 +92,8 @@ def parse_json(c: Column) -> Column:
 
     def whole(t: Column) -> Column:
         """Parsed inside brackets, since the parser ignores what follows a complete value."""
-        v = F.try_parse_json(F.when(strip(t) != "", F.concat(F.lit("["), t, F.lit("]"))))
-        return F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), F.to_json(F.try_variant_get(v, "$[0]", "variant")))
+        v = let(t, lambda x: F.try_parse_json(F.when(strip(x) != "", F.concat(F.lit("["), x, F.lit("]")))))
+        return let(v, lambda x: F.when(F.try_variant_get(x, "$[1]", "variant").isNull(), F.to_json(F.try_variant_get(x, "$[0]", "variant"))))
 
     return F.coalesce(whole(c), whole(repaired(c)), whole(first_object(c)))
 
