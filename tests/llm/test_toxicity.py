@@ -6,9 +6,13 @@ from quillspark.llm import toxicity
 
 
 def test_tokens():
-    words, four, five = toxicity.tokens("Été, STUPID-idiot 42!")
+    words, four, _, _, _, five, *_ = toxicity.tokens("Été, STUPID-idiot 42!")
     assert words == {"Été".encode().replace(b"\xc3\xa9", b"\xc3\xa9"), b"stupid", b"idiot", b"42"} | {w for w in words if w[0] > 127}
     assert b"stup" in four and b"idiot" in five
+    # shares: 1 of 250 words is 0.4 percent, 1 of 251 less
+    enough, less = (toxicity.tokens("idiotic " + "w " * n) for n in (249, 250))
+    assert b"idiotic" in enough[0] and b"idio" in enough[2] and b"idio" not in enough[3] and b"idio" in less[1] and b"idio" not in less[2]
+    assert toxicity.tokens("") == [set()] * toxicity.KINDS
 
 
 def test_later_models_use_out_of_fold_predictions():
