@@ -26,7 +26,7 @@ from quillspark.llm.common import batch_of, small_batches, stored, text_or_empty
 
 PER_CLASS = 3000
 FEATURES = 600
-LEAST_DOCS = 4
+LEAST_DOCS = 3
 #: Log odds ratio of a feature in standard errors, at least.
 LEAST_Z = 2.5
 FOLDS = 5
