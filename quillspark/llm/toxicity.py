@@ -37,16 +37,19 @@ CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1", "toxic_prose":
 #: Bytes to bytes: A-Z to small letters, other ASCII that is no letter or digit to a space.
 TABLE = bytes(b + 32 if 65 <= b < 91 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
-
 #: Lengths of beginnings in bytes, and the shares of a document's words that they must reach.
 BEGINNINGS = (4, 5, 7)
 SHARES = (0.0, 0.004, 0.01, 0.03)
 KINDS = 1 + len(BEGINNINGS) * len(SHARES)
 
 
+def split(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(TABLE).split()
+
+
 def tokens(text: str) -> list[set[bytes]]:
     """Distinct words, then for each length and share the beginnings of so many of the words."""
-    words = text.encode("utf-8", "surrogatepass").translate(TABLE).split()
+    words = split(text)
     times = Counter(words)
     out = [set(times)]
     for n in BEGINNINGS:
@@ -66,8 +69,28 @@ class Chain:
     bias: np.ndarray = field(default_factory=lambda: np.zeros(0))
     links: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # later x earlier
 
+    def __post_init__(self):
+        # For each length, the chosen beginnings with their shares and features.
+        self.begins: list[tuple[int, dict[bytes, list[tuple[float, int]]]]] = []
+        for n, first in zip(BEGINNINGS, range(1, KINDS, len(SHARES)), strict=True):
+            known: dict[bytes, list[tuple[float, int]]] = {}
+            for share, features in zip(SHARES, self.vocab[first : first + len(SHARES)], strict=True):
+                for b, i in features.items():
+                    known.setdefault(b, []).append((share, i))
+            self.begins.append((n, known))
+
     def indices(self, text: str) -> list[int]:
-        return [d[t] for d, found in zip(self.vocab, tokens(text), strict=True) for t in d.keys() & found]
+        """The features of tokens(text) that the chain uses, without listing the others."""
+        words = split(text)
+        times = Counter(words)
+        out = [self.vocab[0][w] for w in self.vocab[0].keys() & times.keys()]
+        for n, known in self.begins:
+            found: dict[bytes, int] = {}
+            for w, k in times.items():
+                if (b := w[:n]) in known:
+                    found[b] = found.get(b, 0) + k
+            out += [i for b, k in found.items() for share, i in known[b] if k >= share * len(words)]
+        return out
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
         if not len(self.bias):

@@ -15,6 +15,20 @@ def test_tokens():
     assert toxicity.tokens("") == [set()] * toxicity.KINDS
 
 
+def test_indices_are_the_chosen_tokens():
+    rnd = random.Random(2)
+    words = ["".join(rnd.choices("abé", k=rnd.randrange(1, 9))) for _ in range(60)]
+    texts = [" ".join(rnd.choices(words, k=rnd.randrange(0, 300))) for _ in range(40)]
+    pool = sorted({(k, t) for text in texts for k, found in enumerate(toxicity.tokens(text)) for t in found})
+    vocab = [{} for _ in range(toxicity.KINDS)]
+    for i, (k, t) in enumerate(rnd.sample(pool, 200)):
+        vocab[k][t] = i
+    chain = toxicity.Chain(["toxic"], vocab)
+    for text in [*texts, ""]:
+        want = [d[t] for d, found in zip(vocab, toxicity.tokens(text), strict=True) for t in d.keys() & found]
+        assert sorted(chain.indices(text)) == sorted(want)
+
+
 def test_later_models_use_out_of_fold_predictions():
     rnd = np.random.default_rng(1)
     x = rnd.integers(0, 2, (400, 5)).astype(np.float32)
