@@ -34,26 +34,29 @@ SEGMENTS, SEGMENT_BITS = 4, 16
 #: Members of one bucket that a task compares at once.
 BLOCK = 4096
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """Bit i is 1 if it is set in over half of the XXH64 values of the word shingles, repeats included.
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """The XXH64 values of the word shingles, repeats included; a text without words has that of the empty string.
 
     On bytes, lower() changes A-Z alone and split() parts words at U+0020 and U+0009 to U+000D alone.
     """
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     data = b" ".join(words)
     if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(data, SEED)], np.uint64)
-    else:
-        gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
-        starts = [0, *(gaps[: len(words) - shingle] + 1).tolist()]
-        ends = [*gaps[shingle - 1 :].tolist(), len(data)]
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(data[s:e], SEED) for s, e in zip(starts, ends, strict=True)), np.uint64, len(starts))
-    return majority(hashes)
+        return np.array([xxhash.xxh64_intdigest(data, SEED)], np.uint64)
+    gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+    starts = [0, *(gaps[: len(words) - shingle] + 1).tolist()]
+    ends = [*gaps[shingle - 1 :].tolist(), len(data)]
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(data[s:e], SEED) for s, e in zip(starts, ends, strict=True)), np.uint64, len(starts))
+
+
+def fingerprint(text: str, shingle: int = 3) -> int:
+    """Bit i is 1 if it is set in over half of the XXH64 values of the word shingles, repeats included."""
+    if not text.encode("utf-8", "surrogatepass").split():
+        return 0
+    return majority(shingle_hashes(text, shingle))
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -162,8 +165,13 @@ def bucket_edges(distinct: DataFrame, distance: int = 3, block: int = BLOCK) ->
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, distance: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links can reach, itself included)."""
     fps = stored(fingerprints(docs, text, key, shingle), "simhash")
+    edges = stored(bucket_edges(fps.groupBy("fp").agg(F.min("doc_id")).select("fp"), distance), "links")
+    return grouped(fps, edges).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def grouped(fps: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id: the smallest doc_id of the group; fps and edges (between values of fp) are tables of stored()."""
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = stored(bucket_edges(classes.select("fp"), distance), "links")
     roots = connected_components(edges)
     discard(edges)
     joined = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -172,14 +180,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     moved = stored(moved.join(least, "root").filter("component < least").select("fp", "component"), "moved")
     classes = classes.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
     # Both sides are plain tables, so AQE can split the hot class on the rows' side.
-    out = fps.join(stored(classes, "classes"), "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(stored(classes, "classes"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, distance: int = 3) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its group. Rows of one doc_id are one document and stay or go
     together; rows with a null doc_id have no identity to compare and stay.
     """
-    groups = near_duplicates(docs, text, key, shingle, distance)
+    return without_copies(docs, near_duplicates(docs, text, key, shingle, distance), key)
+
+
+def without_copies(docs: DataFrame, groups: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs but those that `groups` gives to another doc_id."""
     gone = groups.filter("doc_id is not null and component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, F.col(f"`{key}`").cast("long") == F.col("__gone"), "left_anti")
