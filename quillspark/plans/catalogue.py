@@ -389,7 +389,11 @@ z AS (SELECT doc_id, item_id, n, CASE WHEN n < 20 THEN CAST(contains(b, a) AS DO
 
 
 def _pairs(t) -> DataFrame:
-    return t("documents").select("doc_id", F.col("text").alias("d"), (F.col("doc_id") % 40).alias("item_id")).join(t("benchmark"), "item_id")
+    """Each document with one benchmark item; by turns in the order of item_id, so that every item has its documents."""
+    turns = t("benchmark").select("item_id", (F.row_number().over(W.orderBy("item_id")) - 1).alias("turn"))
+    n = t("benchmark").agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
+    docs = t("documents").select("doc_id", F.col("text").alias("d")).crossJoin(F.broadcast(n)).select("doc_id", "d", F.pmod("doc_id", "n").alias("turn"))
+    return docs.join(turns.select("item_id", "turn"), "turn").join(t("benchmark"), "item_id").drop("turn")
 
 
 @query(f"WITH {_OVERLAP} SELECT doc_id, item_id, {_half_up('ratio', 4)} AS ratio FROM z")
