@@ -9,8 +9,12 @@ chain goes on with a new filter. Repeats of a feature within a text count once.
 Likeness of two digests: each filter of the shorter chain takes its best normalised overlap with the other's (common bits
 above those expected by chance, over the most possible), and these are averaged by features. Equal digests have likeness 1.
 
+In a text of less than SHORT_TEXT bytes too few windows are selected to outlast an edit, so every SHORT bytes of it (but runs
+of one byte) are features besides: half of a text of 7 bytes or more that stays in the other is seen. Below that, and above
+for texts on different sides of SHORT_TEXT that share no selected window, nothing in common is found unless texts are equal.
+
 Null and empty texts have a digest without features, whose likeness is 1 to its equals and 0 to others. A text shorter than
-a window, or without a selected window, has its whole as single feature. Extra columns are ignored; an empty table gives an
+a window, or without a selected window, has its whole as feature. Extra columns are ignored; an empty table gives an
 empty result; rows of one doc_id follow each other in the order of their texts.
 """
 
@@ -29,6 +33,7 @@ from quillspark.llm.common import batch_of, ordered_buckets, small_batches, text
 
 WINDOW = 32
 REACH = 24
+SHORT, SHORT_TEXT = 4, 256
 FILTER_BYTES, HASHES, PER_FILTER = 256, 5, 160
 BITS = 8 * FILTER_BYTES
 #: Bytes of which the windows are computed at once.
@@ -93,9 +98,18 @@ def select(texts: list[bytes]) -> list[np.ndarray]:
     for k, t in enumerate(texts):
         if len(t) and not len(out[k]):
             out[k] = np.frombuffer(hashlib.blake2b(t, digest_size=8).digest(), "<u8")
+        if SHORT <= len(t) < SHORT_TEXT:
+            out[k] = np.concatenate([out[k], short_features(t)])
     return out
 
 
+def short_features(text: bytes) -> np.ndarray:
+    """Hashes of all windows of SHORT bytes that aren't runs of one byte."""
+    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), SHORT)
+    windows = windows[(windows != windows[:, :1]).any(axis=1)]
+    return mix(mix(np.ascontiguousarray(windows).view("<u4")[:, 0].astype(np.uint64) + _MIX))
+
+
 def _select_joined(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
     h = entropies(data)
     own = np.zeros(len(h), bool)  # windows inside one text
@@ -136,7 +150,7 @@ Digest = tuple[np.ndarray, np.ndarray]
 
 def text_form(d: Digest) -> str:
     """version:window:filter bytes:hashes:features a filter:features:filters in base64"""
-    return f"ifd1:{WINDOW}:{FILTER_BYTES}:{HASHES}:{PER_FILTER}:{int(d[1].sum())}:" + base64.b64encode(d[0].tobytes()).decode()
+    return f"ifd2:{WINDOW}:{FILTER_BYTES}:{HASHES}:{PER_FILTER}:{int(d[1].sum())}:" + base64.b64encode(d[0].tobytes()).decode()
 
 
 def from_text(form: str) -> Digest:
