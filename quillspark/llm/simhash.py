@@ -54,7 +54,7 @@ def shingle_hashes(text: str, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str, shingle: int = 3) -> int:
     """Bit i is 1 if it is set in over half of the XXH64 values of the word shingles, repeats included."""
-    if not text.encode("utf-8", "surrogatepass").split():
+    if not text.strip(" \t\n\v\f\r"):
         return 0
     return majority(shingle_hashes(text, shingle))
 
