@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
+import shutil
 import tempfile
 import uuid
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,23 +23,79 @@ SLICE_BYTES = 1 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower (never raise) the session's Arrow batch size to ARROW_ROWS."""
+    """Lower (never raise) the session's Arrow batch size to ARROW_ROWS. It stays lowered, since plans read it when they run."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
         spark.conf.set(key, ARROW_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where it is unset (tests), a folder of our own."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a folder of our own, but only on a local master:
+    on a cluster each machine would write to its own disk, so there that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"spark.checkpoint.dir isn't set, and {master or 'this master'} needs a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.sparkContext.setCheckpointDir(base)
+        atexit.register(shutil.rmtree, base.removeprefix("file://"), True)
     return base
 
 
+#: Paths made inside the innermost scratch() block.
+_made: ContextVar[list[str] | None] = ContextVar("quillspark_made", default=None)
+_released: set[str] = set()
+
+
+def _own_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{shared_dir(spark)}/quillspark/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's folder, which release() removes, at the driver's end at the latest."""
+    own = _own_dir(spark)
+    if own not in _released:
+        _released.add(own)
+        atexit.register(_release_at_exit, spark)
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; no result that hasn't been written may be read afterwards."""
+    remove_path(spark, _own_dir(spark))
+
+
+def _release_at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have been stopped
+        if spark.sparkContext._jsc is not None:
+            release(spark)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes, at its end, the tables that stored() has written inside it, but for those given to what it yields."""
+    made, kept = [], set()
+    token = _made.set(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._quill_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _made.reset(token)
+        outer = _made.get()
+        for path in made:
+            if path not in kept:
+                remove_path(spark, path)
+            elif outer is not None:
+                outer.append(path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -59,6 +120,14 @@ def discard(df: DataFrame) -> None:
         remove_path(df.sparkSession, path)
 
 
+def free_name(wish: str, taken: Iterable[str]) -> str:
+    """A column name like `wish` that none of the others has (Spark's names don't tell cases apart)."""
+    have = {c.lower() for c in taken}
+    while wish.lower() in have:
+        wish += "_"
+    return wish
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import batch_of, discard, small_batches, stored, text_or_empty
+from quillspark.llm.common import batch_of, discard, free_name, scratch, small_batches, stored, text_or_empty
 from quillspark.llm.components import connected_components
 
 #: Fixed value: the seed of XXH64.
@@ -164,9 +164,11 @@ def bucket_edges(distinct: DataFrame, distance: int = 3, block: int = BLOCK) ->
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, distance: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links can reach, itself included)."""
-    fps = stored(fingerprints(docs, text, key, shingle), "simhash")
-    edges = stored(bucket_edges(fps.groupBy("fp").agg(F.min("doc_id")).select("fp"), distance), "links")
-    return grouped(fps, edges).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    with scratch(docs.sparkSession) as keep:
+        fps = stored(fingerprints(docs, text, key, shingle), "simhash")
+        edges = stored(bucket_edges(fps.groupBy("fp").agg(F.min("doc_id")).select("fp"), distance), "links")
+        found = grouped(fps, edges).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        return keep(stored(found, "groups"))
 
 
 def grouped(fps: DataFrame, edges: DataFrame) -> DataFrame:
@@ -191,6 +193,11 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle:
 
 
 def without_copies(docs: DataFrame, groups: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs but those that `groups` gives to another doc_id."""
-    gone = groups.filter("doc_id is not null and component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(f"`{key}`").cast("long") == F.col("__gone"), "left_anti")
+    """The rows of docs but those that `groups` gives to another doc_id; docs may have columns of any names.
+
+    The ids that go are written first: where they are few the join broadcasts them, else it shuffles the rows of docs once,
+    whole texts included (about 1 x input).
+    """
+    gone = groups.filter("doc_id is not null and component_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    name = free_name("gone", docs.columns)
+    return docs.join(stored(gone, "gone").withColumnRenamed("doc_id", name), F.col(f"`{key}`").cast("long") == F.col(name), "left_anti")
