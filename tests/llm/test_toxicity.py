@@ -36,7 +36,7 @@ def test_later_models_use_out_of_fold_predictions():
     second = ((x[:, 0] + x[:, 1]) > 1).astype(np.float32)
     weights, bias, links = toxicity.fit_chain(x, [first, second], np.arange(400) % 5)
     assert links.shape == (2, 2) and links[1, 0] > 0 and links[0].sum() == 0
-    # the second model's inputs are the first one's log-odds from models that haven't seen the row
+    # the second model's inputs are the first one's probabilities from models that haven't seen the row
     full = []
     for f in range(5):
         own = np.arange(400) % 5 == f
@@ -45,7 +45,7 @@ def test_later_models_use_out_of_fold_predictions():
     unseen = np.zeros(400, np.float32)
     for own, z in full:
         unseen[own] = z
-    w = toxicity.logistic(np.hstack([x, np.clip(unseen, -8, 8)[:, None]]), second)
+    w = toxicity.logistic(np.hstack([x, 1 / (1 + np.exp(-unseen[:, None]))]), second)
     assert np.allclose(weights[:, 1], w[:5]) and np.isclose(links[1, 0], w[5]) and np.isclose(bias[1], w[6])
 
 
