@@ -1,20 +1,26 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters, digits and underscores, lower-cased. The first pass over the corpus counts in how many
-documents each word n-gram of the test items occurs; the rarer half of an item's n-grams (ties included, at least
-LEAST_SEEDS) become its seeds. The second pass joins passages to items by these seeds: hits of one item that lie near one
-diagonal make a candidate if they carry SEED_BITS of information or a quarter of the item's seeds. Each candidate passage
-is then aligned with the whole item (local alignment, match 2, mismatch and gap -1); its score is divided by that of a
-perfect copy. A document is contaminated by an item from `threshold` on, so copies with changed, lost or added words
-count as well.
-
-Both passes are maps over documents with the items' n-grams at hand, so nothing but counts is shuffled and no document,
-source or passage is hot. Items go out in blocks of BLOCK_ITEMS, or fewer if they are long, one pair of passes for each
-block: what a task holds has a bound, and no item is left out.
-
-Null and empty texts hold no passage. Items with fewer words than an n-gram are looked up by all their words as one n-gram;
-items without words match nothing. Repeated items are reported for each item_id. Empty tables give an empty result;
-extra columns are ignored.
+Words are runs of letters, digits and underscores, lower-cased. A passage is aligned with a whole item (local alignment,
+match 2, mismatch and gap -1); the score is divided by that of a perfect copy, and a document is contaminated by an item
+from `threshold` on, so copies with changed, lost or added words count as well.
+
+Seeds are pairs of neighbouring words of an item; a document has such a pair where the two words follow each other
+directly or with one word between. That loses nothing at thresholds of 0.5 or more: let an alignment with score n or more
+of 2n match m of the item's n words, with e words changed or left out inside, i added and u left out at the ends. Then
+m >= 2e + i + u. Of the m - 1 steps from one match to the next at most e lie over a change and at most i / 2 over two added
+words; all others are pairs that the document has. So at least m / 2 + u / 2 - 1 >= n / 3 - 1 pairs are found, and within
+m + e + i <= 2n words of the document. Hence the rarest n - ceil(n / 3) + 1 of the n - 1 pairs (by the number of documents
+that have them, counted over the whole corpus; ties included) hold one that is found: these are the rare seeds that join
+passages to items. A passage is aligned if besides ceil(n / 3) - 1 pairs of the item lie within 2n words.
+
+Both passes are maps over documents with the items' pairs at hand, so nothing but counts is shuffled and no document,
+source or passage is hot. Items go out in blocks of BLOCK_ITEMS, or fewer if they are long, two passes over the corpus for
+each block: what a task holds has a bound, and no item is left out. A document of any length is read whole; the work is in
+proportion to its words and, for each item with a seed in it, to the passages that hold enough pairs.
+
+Null and empty texts hold no passage. Items of fewer than LEAST_WORDS words are found by all their words in sequence alone,
+with score 1; items without words match nothing. Repeated items are reported for each item_id, repeated rows of docs each.
+Of passages with equal scores the first is reported. Empty tables give an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,111 +37,114 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import batch_of, small_batches, text_or_empty
 
-GRAM = 3
-LEAST_SEEDS = 8
-SEED_BITS = 16.0
+LEAST_WORDS = 4
 THRESHOLD = 0.5
 BLOCK_ITEMS = 5_000
 BLOCK_WORDS = 1 << 20
 MATCH, OTHER = 2, 1
+WORD_BITS = 31
 
 words = re.compile(r"\w+").findall
 
 
+def pairs_needed(n: int) -> int:
+    """Pairs that a passage with half of a perfect copy's score has of an item of n words, at least."""
+    return max(1, -(-n // 3) - 1)
+
+
 class Items:
-    """Test items of one block: words as small integers, n-grams as sorted 64-bit keys, postings of (item, position)."""
+    """Test items of one block: words as small integers, pairs as sorted 64-bit keys, postings of items."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids = [i for i, _ in rows]
         self.vocab: dict[str, int] = {}
         self.words = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(t.lower())], np.int64) for _, t in rows]
-        keys, items, places = [], [], []
-        for k, w in enumerate(self.words):
-            g = self.keys_of(w)
-            if not len(g) and len(w):
-                g = self.keys_of(np.concatenate([w, np.zeros(GRAM - len(w), np.int64)]), short=True)
-            keys.append(g)
-            items += [k] * len(g)
-            places += range(len(g))
+        keys = [np.unique(w[:-1] << WORD_BITS | w[1:]) if len(w) >= LEAST_WORDS else np.zeros(0, np.int64) for w in self.words]
         flat = np.concatenate([np.zeros(0, np.int64), *keys])
-        self.grams, of = np.unique(flat, return_inverse=True)
-        order = np.argsort(of, kind="stable")
-        self.item, self.place = np.array(items, np.int64)[order], np.array(places, np.int64)[order]
-        self.first = np.searchsorted(of[order], np.arange(len(self.grams) + 1))
-        self.item_grams = [np.unique(of[s:e]) for s, e in zip(np.cumsum([0, *map(len, keys)][:-1]), np.cumsum([len(g) for g in keys]), strict=True)]
-        self.short = sorted({len(w) for w in self.words if 0 < len(w) < GRAM})
-        self.seed = np.ones(len(self.grams), bool)
-        self.bits = np.zeros(len(self.grams))
-        self.seeds_of = np.array([len(g) for g in self.item_grams])
-
-    @staticmethod
-    def keys_of(w: np.ndarray, short: bool = False) -> np.ndarray:
-        if len(w) < GRAM:
-            return np.zeros(0, np.int64)
-        key, ok = w[: len(w) - GRAM + 1].copy(), w[: len(w) - GRAM + 1] > 0
-        for i in range(1, GRAM):
-            part = w[i : len(w) - GRAM + 1 + i]
-            key = key << 20 | part
-            ok &= (part > 0) | short
-        return np.where(ok, key, -1)
+        self.pairs, of = np.unique(flat, return_inverse=True)
+        self.pairs_of = np.split(of, np.cumsum([len(g) for g in keys])[:-1]) if keys else []
+        #: Items below LEAST_WORDS words, by their first word.
+        self.short: dict[int, list[int]] = {}
+        for k, w in enumerate(self.words):
+            if 0 < len(w) < LEAST_WORDS:
+                self.short.setdefault(int(w[0]), []).append(k)
+        self.choose_seeds(np.zeros(len(self.pairs), np.int64))
 
     def encode(self, text: str) -> np.ndarray:
-        get, found = self.vocab.get, words(text.lower())
-        return np.fromiter((get(w, 0) for w in found), np.int64, len(found))
+        found = words(text.lower())
+        return np.fromiter(map(self.vocab.get, found, repeat(0)), np.int64, len(found))
 
     def hits(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word positions and n-gram numbers of the items' n-grams in a document."""
-        if not len(self.grams):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at, gram = [], []
-        tries = [self.keys_of(w)]
-        for n in self.short:  # items of fewer words than an n-gram
-            padded = np.stack([w[i : len(w) - n + 1 + i] if i < n else np.zeros(max(0, len(w) - n + 1), np.int64) for i in range(GRAM)]) if len(w) >= n else np.zeros((GRAM, 0), np.int64)
-            tries.append(np.where((padded[:n] > 0).all(0), (padded[0] << 40) | (padded[1] << 20) | padded[2], -1))
-        for keys in tries:
-            known = np.flatnonzero(keys > 0)
-            i = np.minimum(np.searchsorted(self.grams, keys[known]), len(self.grams) - 1)
-            good = self.grams[i] == keys[known]
-            at.append(known[good])
-            gram.append(i[good])
-        return np.concatenate(at), np.concatenate(gram)
-
-    def choose_seeds(self, n_docs: int, df: np.ndarray) -> None:
-        self.seed[:] = False
-        for k, grams in enumerate(self.item_grams):
-            if len(grams):
-                most = np.sort(df[grams])[min(len(grams) - 1, max(LEAST_SEEDS, (len(grams) + 1) // 2) - 1)]
-                chosen = grams[df[grams] <= most]
-                self.seed[chosen] = True
-                self.seeds_of[k] = len(chosen)
-        self.bits = np.log2(1 + n_docs / np.maximum(df, 1))
+        """Places and numbers of the items' pairs in a document; places may repeat."""
+        at, pair = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(self.pairs):
+            for step in (1, 2):
+                known = np.flatnonzero((w[:-step] > 0) & (w[step:] > 0))
+                keys = w[known] << WORD_BITS | w[known + step]
+                i = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+                good = self.pairs[i] == keys
+                at.append(known[good])
+                pair.append(i[good])
+        return np.concatenate(at), np.concatenate(pair)
+
+    def choose_seeds(self, df: np.ndarray) -> None:
+        """df: in how many documents each pair is."""
+        item, pair, seed = [], [], []
+        for k, pairs in enumerate(self.pairs_of):
+            if len(pairs):
+                n = len(self.words[k])
+                # A repeated pair of an item counts at each place, so fewer different ones are left out for it.
+                spared = max(0, len(pairs) - (n - -(-n // 3) + 1))
+                most = np.sort(df[pairs])[len(pairs) - 1 - spared]
+                item.append(np.full(len(pairs), k))
+                pair.append(pairs)
+                seed.append(df[pairs] <= most)
+        item, pair = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (item, pair))
+        order = np.argsort(pair, kind="stable")
+        self.item, self.is_seed = item[order], np.concatenate([np.zeros(0, bool), *seed])[order]
+        self.first = np.searchsorted(pair[order], np.arange(len(self.pairs) + 1))
+        self.need = np.array([pairs_needed(len(w)) for w in self.words], np.int64)
 
     def matches(self, w: np.ndarray) -> list[tuple[int, float, int, int, int]]:
-        """(item, score, first word, word after the last, distinct seeds) of the best passage for each item."""
-        at, gram = self.hits(w)
-        keep = self.seed[gram]
-        at, gram = at[keep], gram[keep]
+        """(item, score, first word, word after the last, pairs) of the best passage for each item."""
+        out = self.short_matches(w) if self.short else []
+        at, pair = self.hits(w)
         if not len(at):
-            return []
-        n = self.first[gram + 1] - self.first[gram]
-        row = np.repeat(np.arange(len(at)), n)
-        post = self.first[gram][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        item, diagonal, gram = self.item[post], at[row] - self.place[post], gram[row]
-        order = np.lexsort((diagonal, item))
-        item, diagonal, gram = item[order], diagonal[order], gram[order]
-        size = np.array([len(self.words[i]) for i in item])
-        new = np.flatnonzero((item[1:] != item[:-1]) | (np.diff(diagonal) > size[1:])) + 1
-        best: dict[int, tuple] = {}
-        for s, e in zip([0, *new.tolist()], [*new.tolist(), len(item)], strict=True):
-            k, found = int(item[s]), np.unique(gram[s:e])
-            if self.bits[found].sum() < SEED_BITS and len(found) * 4 < self.seeds_of[k]:
+            return out
+        found, of, times = np.unique(pair, return_inverse=True, return_counts=True)
+        n = self.first[found + 1] - self.first[found]
+        row = np.repeat(np.arange(len(found)), n)
+        posting = self.first[found][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        items = self.item[posting]
+        enough = np.bincount(items, weights=times[row], minlength=len(self.need)) >= self.need
+        seeded = items[self.is_seed[posting]]
+        for k in np.unique(seeded[enough[seeded]]).tolist():
+            size, need = len(self.words[k]), int(self.need[k])
+            mine = np.zeros(len(found), bool)
+            mine[row[items == k]] = True
+            places = np.sort(at[mine[of]])
+            # From each place on: places within 2 * size words. Passages around those with enough are aligned.
+            starts = places[np.searchsorted(places, places + 2 * size, "right") - np.arange(len(places)) >= need]
+            if not len(starts):
                 continue
-            m = len(self.words[k])
-            lo, hi = max(0, int(diagonal[s]) - m // 2), min(len(w), int(diagonal[e - 1]) + m + m // 2 + 1)
-            score, x, y = align(self.words[k], w[lo:hi])
-            if k not in best or score > best[k][1]:
-                best[k] = (k, score, lo + x, lo + y, len(found))
-        return list(best.values())
+            cuts = np.flatnonzero(np.diff(starts) > 4 * size) + 1
+            best = (0.0, 0, 0)
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(starts)], strict=True):
+                lo, hi = max(0, int(starts[s]) - 2 * size), min(len(w), int(starts[e - 1]) + 4 * size)
+                score, x, y = align(self.words[k], w[lo:hi])
+                if score > best[0]:
+                    best = score, lo + x, lo + y
+            out.append((k, *best, int(mine.sum())))
+        return out
+
+    def short_matches(self, w: np.ndarray) -> list[tuple[int, float, int, int, int]]:
+        out: dict[int, tuple] = {}
+        for p in np.flatnonzero(np.isin(w, list(self.short))).tolist():
+            for k in self.short[int(w[p])]:
+                n = len(self.words[k])
+                if k not in out and np.array_equal(w[p : p + n], self.words[k]):
+                    out[k] = (k, 1.0, p, p + n, 1)
+        return list(out.values())
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
@@ -180,36 +190,38 @@ def blocks(items: DataFrame, text: str, key: str) -> Iterator[list[tuple[int, st
         yield block
 
 
-OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("seeds", pa.int64())])
-DDL = "doc_id long, item_id long, score double, start_word long, end_word long, seeds long"
+OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("pairs", pa.int64())])
+DDL = "doc_id long, item_id long, score double, start_word long, end_word long, pairs long"
 
 
 def _seeded(docs: DataFrame, rows: list[tuple[int, str]], text: str) -> Items:
     items = Items(rows)
-    schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(items.grams), np.int64), 0
+        df = np.zeros(len(items.pairs), np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
                 df[np.unique(items.hits(items.encode(t))[1])] += 1
-                n += 1
         found = np.flatnonzero(df)
-        yield batch_of(schema, [pa.array(np.append(found, -1)), pa.array(np.append(df[found], n))])
-
-    df, n = np.zeros(len(items.grams), np.int64), 0
-    # At most one row for each n-gram of a bounded block.
-    for r in docs.select(text_or_empty(text)).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        if r.gram < 0:
-            n = r.n
-        else:
-            df[r.gram] = r.n
-    items.choose_seeds(n, df)
+        yield batch_of(schema, [pa.array(found), pa.array(df[found])])
+
+    df = np.zeros(len(items.pairs), np.int64)
+    # At most one row for each pair of a bounded block.
+    for r in docs.select(text_or_empty(text)).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        df[r.pair] = r.n
+    items.choose_seeds(df)
     return items
 
 
+def _check(threshold: float) -> None:
+    if threshold < 0.5:
+        raise ValueError("the seeds find all passages from a threshold of 0.5 on")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
     """A row for each document and item whose best alignment reaches the threshold, with the place of the passage."""
+    _check(threshold)
     small_batches(docs.sparkSession)
     parts = []
     for rows in blocks(benchmark, item_text, item_key):
@@ -228,6 +240,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs in which no item reaches the threshold, all columns as they are."""
+    _check(threshold)
     small_batches(docs.sparkSession)
     for rows in blocks(benchmark, item_text, item_key):
         items = _seeded(docs, rows, text)

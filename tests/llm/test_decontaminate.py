@@ -77,3 +77,46 @@ def test_odd_items_and_empty_tables(spark):
     assert sorted((r.doc_id, r.item_id, r.score) for r in d.contaminated(df, bench).collect()) == [(2, 1, 1.0)] * 2 + [(2, 4, 1.0)] * 2
     assert d.contaminated(df, bench.limit(0)).count() == 0 and d.contaminated(df.limit(0), bench).count() == 0
     assert d.keep_uncontaminated(df, bench.limit(0)).count() == 4
+
+
+def edited(w, pattern, rnd):
+    """A copy of the words w, changed by a pattern: replace, drop or add at a rate, or replace or add at every k-th."""
+    kind, much = pattern
+    out = []
+    for i, x in enumerate(w):
+        hit = rnd.random() < much if much < 1 else i % much == much - 1
+        if kind == "replace":
+            out.append(f"new{rnd.randrange(10**6)}" if hit else x)
+        elif kind == "drop":
+            out += [] if hit else [x]
+        elif kind == "add":
+            out += [x, f"new{rnd.randrange(10**6)}"] if hit else [x]
+        else:  # a mixture
+            out += [[], [x, f"new{rnd.randrange(10**6)}"], [f"new{rnd.randrange(10**6)}"]][rnd.randrange(3)] if hit else [x]
+    return out if kind != "swap" else w
+
+
+PATTERNS = [("replace", 3), ("replace", 4), ("replace", 0.15), ("replace", 0.25), ("replace", 0.34), ("add", 1), ("add", 2), ("add", 0.5), ("drop", 3), ("drop", 0.3), ("mixed", 3), ("mixed", 0.2), ("mixed", 0.3)]
+
+
+def recall(bench, pattern, seed=5):
+    """Copies in running text that exhaustive alignment scores 0.5 or more, and how many of them are found."""
+    rnd = random.Random(seed)
+    items = d.Items(list(enumerate(bench)))
+    filler = [w for t in bench for w in d.words(t.lower())]
+    due = found = 0
+    for k, t in enumerate(bench):
+        w = d.words(t.lower())
+        text = " ".join([*rnd.choices(filler, k=60), *edited(w, pattern, rnd), *rnd.choices(filler, k=60)])
+        code = items.encode(text)
+        if brute_align(items.words[k].tolist(), code.tolist()) >= d.THRESHOLD:
+            due += 1
+            found += any(m[0] == k and m[1] >= d.THRESHOLD for m in items.matches(code))
+    return due, found
+
+
+def test_recall_of_edited_copies(spark):
+    bench = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").orderBy("item_id").collect()]
+    due = {p: recall(bench, p) for p in PATTERNS}
+    assert all(n == found for n, found in due.values()), due
+    assert all(due[p][0] == len(bench) for p in [("replace", 3), ("replace", 4), ("replace", 0.15)])
