@@ -1,14 +1,18 @@
 """Quality classifier by nearest-neighbour voting in a latent semantic space.
 
-Terms are bigrams of byte classes (letters, upper case, digits, single punctuation marks, UTF-8 parts) and words that
-repeat the word before them, by the share that they have of all words. Their document frequencies are counted over all documents. A bounded sample of labelled documents (`per_class` of each label, in the
-order of a hash of doc_id) is weighted by tf-idf and projected on its leading singular vectors. The labelled vectors,
-whose number is bounded by that parameter, travel to every task, where blocks of document vectors are multiplied with all
-of them: exact cosines, no index. The `neighbours` most similar ones vote with similarity to the power `sharpness` as weight.
+Terms are bigrams of byte classes (letters, upper case, digits, frequent marks, UTF-8 parts, all else) and words that repeat
+the word before them (the same bytes in any order count as one word), by the share that they have of all words. Their
+document frequencies are counted over all documents. A bounded sample of labelled documents (`per_class` of each label, in
+the order of a hash of doc_id) is weighted by tf-idf and projected on its leading singular vectors. The labelled vectors,
+whose number is bounded by that parameter, travel to every task, where blocks of BLOCK document vectors are multiplied with
+all of them: exact cosines, no index. The `neighbours` most similar ones vote with similarity to the power `sharpness` as
+weight. Similarities count to six decimals; of equal ones at the last place those with the smaller doc_id vote. Blocks are
+filled up to one shape, so a document's score doesn't depend on the rows beside it.
 
 Null and empty texts have a zero vector and score the share of label 1 in the sample. Labels that are null or without a
-document are ignored; of repeated labelled rows one counts. Without any usable label the score is 0.5. Score inputs are
-the texts alone. An empty table gives an empty result; extra columns are ignored.
+document are ignored; of repeated labelled rows one counts, with the larger label and text. Without any usable label the
+score is 0.5. Score inputs are the texts alone; repeated rows score alike. Texts of any length are counted whole, in
+fitting as in scoring. An empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,16 +38,18 @@ RANK = 32
 NEIGHBOURS = 25
 SHARPNESS = 8
 THRESHOLD = 0.3
+#: Document vectors that are multiplied at once.
+BLOCK = 64
 
 
 def byte_classes() -> np.ndarray:
-    """The class of each byte: one for each small letter and each frequent mark, one for each other kind."""
+    """The class of each byte: one for each small letter and each of 32 frequent marks, one for each other kind."""
     out = np.full(256, 1, np.int32)
     for c in range(26):
         out[97 + c] = 2 + c
     out[65:91], out[48:58] = 28, 29
-    for i, mark in enumerate(b" \n\t.,;:!?'\"()[]{}<>|/\\-_*#$%&+=@~^"):
-        out[mark] = 30 + i % 32
+    for i, mark in enumerate(b" \n\t.,;:!?'\"()[]{}<>|/\\-_*#$%&+=@"):
+        out[mark] = 30 + i
     out[128:192], out[192:] = 62, 63
     return out
 
@@ -100,13 +106,19 @@ class Model:
     def scores(self, counts: np.ndarray) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(counts), 0.5)
-        near = self.project(counts) @ self.vectors.T
-        k = min(self.neighbours, near.shape[1])
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.clip(np.take_along_axis(near, best, 1), 0, 1).astype(np.float64) ** self.sharpness
+        return np.concatenate([self._block(counts[i : i + BLOCK]) for i in range(0, len(counts), BLOCK)] or [np.zeros(0)])
+
+    def _block(self, counts: np.ndarray) -> np.ndarray:
+        rows, n = len(counts), len(self.labels)
+        near = self.project(np.pad(counts, ((0, BLOCK - rows), (0, 0)))) @ self.vectors.T
+        k = min(self.neighbours, n)
+        # Whole numbers that tell similarity first and then the place in the order of doc_id: no two are equal.
+        rank = np.rint(np.clip(near, -1, 1) * 1e6).astype(np.int64) * n - np.arange(n)
+        best = np.sort(np.argpartition(-rank, k - 1, axis=1)[:, :k], axis=1)
+        weight = np.clip(np.rint(np.take_along_axis(near, best, 1) * 1e6) / 1e6, 0, 1).astype(np.float64) ** self.sharpness
         total = weight.sum(1)
         vote = (weight * self.labels[best]).sum(1)
-        return np.where(total > 0, vote / np.where(total > 0, total, 1), self.labels.mean()).clip(0, 1)
+        return np.where(total > 0, vote / np.where(total > 0, total, 1), self.labels.mean()).clip(0, 1)[:rows]
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -163,14 +175,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
         for b in batches:
             texts = b.column(2).to_pylist()
             for s, e in slices(map(len, texts)):
-                packed = [zlib.compress(np.minimum(x, 65535).astype("<u2").tobytes(), 1) for x in term_counts(texts[s:e])]
+                packed = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in term_counts(texts[s:e])]
                 yield batch_of(schema, [b.column(0).slice(s, e - s), b.column(1).slice(s, e - s), packed])
 
     rows = sorted(sample.mapInArrow(run, "id long, y int, counts binary").collect(), key=lambda r: r.id)
     y = np.array([r.y for r in rows], np.float64)
     if not rows:
         return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), y)
-    x = weighted(np.stack([np.frombuffer(zlib.decompress(r.counts), "<u2").astype(np.float32) for r in rows]), idf)
+    x = weighted(np.stack([np.frombuffer(zlib.decompress(r.counts), "<u4").astype(np.float32) for r in rows]), idf)
     axes = leading_axes(x, rank)
     return Model(idf, axes, unit(x @ axes).astype(np.float32), y)
 
