@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.config import DEFAULTS
 from quillspark.functions.text import strip
 
+#: Where sentences and paragraphs part.
 SENTENCE_GAP = r"(?U)(?<=[.!?])\s+(?=[A-Z0-9\"'(])"
 PARAGRAPH_GAP = r"(?U)\n\s*\n"
 

@@ -19,6 +19,7 @@ COPY_FIELDS = [
 ]
 #: Metadata keys that stay even when empty.
 ALWAYS_KEPT = ("path", "error", "extension", "file_extension", "file_name", "file_path")
+#: Fixed value: the first fenced block.
 FENCE = r"(?s)```(?:json)?\s*\n?(.*?)\n?```"
 
 
@@ -86,38 +87,71 @@ def first_object(c: Column) -> Column:
     return seen["out"]
 
 
+def parse_directly(t: Column) -> Column:
+    """Canonical JSON text of a text that is JSON as it stands, else null. Parsed inside brackets, since the parser ignores
+    what follows a complete value."""
+    v = let(t, lambda x: F.try_parse_json(F.when(strip(x) != "", F.concat(F.lit("["), x, F.lit("]")))))
+    return let(v, lambda x: F.when(F.try_variant_get(x, "$[1]", "variant").isNull(), F.to_json(F.try_variant_get(x, "$[0]", "variant"))))
+
+
 def parse_json(c: Column) -> Column:
     """Canonical JSON text of a parsed answer: as it is, repaired, or its first object; null if none parses."""
+    return F.coalesce(parse_directly(c), parse_directly(repaired(c)), parse_directly(first_object(c)))
 
 
-    def whole(t: Column) -> Column:
-        """Parsed inside brackets, since the parser ignores what follows a complete value."""
-        v = let(t, lambda x: F.try_parse_json(F.when(strip(x) != "", F.concat(F.lit("["), x, F.lit("]")))))
-        return let(v, lambda x: F.when(F.try_variant_get(x, "$[1]", "variant").isNull(), F.to_json(F.try_variant_get(x, "$[0]", "variant"))))
+def canonical_json(c: Column) -> Column:
+    """JSON text with sorted keys, ", " and ": " between members, other characters than ASCII as they are."""
+    parts = F.regexp_extract_all(F.to_json(F.try_parse_json(c)), F.lit(r'"(?:[^"\\]|\\.)*"|[^"]+'), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(F.startswith(p, F.lit('"')), p).otherwise(F.replace(F.replace(p, F.lit(","), F.lit(", ")), F.lit(":"), F.lit(": ")))), "")
 
-    return F.coalesce(whole(c), whole(repaired(c)), whole(first_object(c)))
+
+def content_key(c: Column) -> Column:
+    """The cache key of a JSON value: SHA-256 of its canonical form."""
+    return F.sha2(canonical_json(c), 256)
 
 
 def repairs_needed(c: Column) -> Column:
-    """Names of the repairs that change the text, each applied to the result of those before."""
-    marks = []
+    """Names of the repairs that change the text, each applied to the result of those before, and `first_object` if the
+    first balanced object isn't the whole text."""
+    t = strip(c)
+    empty = F.struct(t.alias("now"), F.array().cast("array<string>").alias("names"))
+    state = empty
     for name, step in REPAIRS.items():
-        after = step(c)
-        marks.append(F.when(after != c, name))
-        c = after
-    return F.array_compact(F.array(*marks))
+        state = let(state, lambda s, name=name, step=step: let(step(s["now"]), lambda after: F.struct(after.alias("now"), F.when(after != s["now"], F.concat(s["names"], F.array(F.lit(name)))).otherwise(s["names"]).alias("names"))))
+    found = let(first_object(t), lambda f: F.when((f != "") & (f != t), F.array(F.lit("first_object"))).otherwise(F.array().cast("array<string>")))
+    return F.concat(state["names"], found)
+
+
+def objects_closed(c: Column) -> Column:
+    """How often the depth of braces comes back to 0 at a closing brace."""
+    pieces = F.filter(F.split(c, r"(?<=\})"), lambda p: p != "")
+    seen = F.aggregate(
+        pieces,
+        F.struct(F.lit(0).alias("depth"), F.lit(0).alias("closed")),
+        lambda a, p: let(
+            a["depth"] + F.length(p) - F.length(F.replace(p, F.lit("{"), F.lit(""))) - F.when(F.endswith(p, F.lit("}")), 1).otherwise(0),
+            lambda depth: F.struct(depth.alias("depth"), (a["closed"] + F.when(F.endswith(p, F.lit("}")) & (depth == 0), 1).otherwise(0)).alias("closed")),
+        ),
+    )
+    return seen["closed"]
 
 
 def response_format(c: Column) -> Column:
-    """Flags of a model's answer: empty, direct, fences, text_before, text_after, several_objects."""
+    """Flags of a model's answer: empty, direct, fences, text_before, text_after, several_objects.
+
+    direct: it begins with a brace; text before: words, but no fence, before the first one; text after: anything after
+    the last closing one, a fence too; several: the depth of braces comes back to 0 more than once.
+    """
     t = strip(c)
+    before = F.substring(t, F.lit(1), F.instr(t, "{") - 1)
+    after = F.element_at(F.split(t, r"\}"), -1)
     flags = {
         "empty": t == "",
-        "direct": F.startswith(t, F.lit("{")) & F.endswith(t, F.lit("}")),
+        "direct": F.startswith(t, F.lit("{")),
         "fences": F.contains(t, F.lit("```")),
-        "text_before": F.instr(t, "{") > 1,
-        "text_after": F.contains(t, F.lit("}")) & ~F.endswith(t, F.lit("}")),
-        "several_objects": F.regexp_count(t, F.lit(r"\}\s*,?\s*\{")) > 0,
+        "text_before": (F.instr(t, "{") > 1) & (strip(before) != "") & ~F.contains(before, F.lit("```")),
+        "text_after": F.contains(t, F.lit("}")) & (strip(after) != ""),
+        "several_objects": objects_closed(t) > 1,
     }
     return F.array_compact(F.array(*[F.when(f, n) for n, f in flags.items()]))
 
@@ -137,12 +171,6 @@ def confidence_tier(fields: Column) -> Column:
     return F.when(fields.isNull() | (F.size(fields) == 0), 0.0).otherwise(tier)
 
 
-def field_confidence(value: Column, required: bool) -> Column:
-    """A filled field 1, an empty optional one 0.5, an empty required one 0; here 0 and false are empty."""
-    empty = value.isNull() | strip(value.cast("string")).isin("", "0", "0.0", "false", "[]", "{}")
-    return F.when(~empty, 1.0).otherwise(0.0 if required else 0.5)
-
-
 def mean_confidence(scores: Column) -> Column:
     mean = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores)
     return F.when(F.size(scores) == 0, 0.0).otherwise(F.floor(mean * 1000 + 0.5).cast("double") / 1000)
@@ -184,3 +212,53 @@ def clean_metadata(m: Column, strip_empty: bool = True, sort_keys: bool = True,
     keys = F.transform(entries, lambda e: F.lower(e["key"]))
     entries = F.filter(entries, lambda e, i: F.array_position(keys, F.lower(e["key"])) == i + 1)
     return F.map_from_entries(F.array_sort(entries) if sort_keys else entries)
+
+
+def clean_nested_metadata(c: Column, strip_empty: bool = True, sort_keys: bool = True, keep: tuple[str, ...] = ALWAYS_KEPT) -> Column:
+    """clean_metadata for JSON text of any depth: Spark has no recursive functions, so an Arrow UDF over whole objects.
+
+    Keys and strings are trimmed, nulls in lists dropped; an empty, zero or false value goes unless its key is kept; of
+    keys that differ in case the first stays, objects under them are merged, later members winning. Null gives {}, what
+    isn't an object null.
+    """
+    import json
+
+    import pandas as pd
+
+    def tidy(v):
+        if isinstance(v, str):
+            return v.strip()
+        if isinstance(v, list):
+            return [tidy(x) for x in v if x is not None]
+        return {str(k).strip(): tidy(x) for k, x in v.items()} if isinstance(v, dict) else v
+
+    def merged(a: dict, b: dict) -> dict:
+        both = {k: merged(a[k], b[k]) for k in a.keys() & b.keys() if isinstance(a[k], dict) and isinstance(b[k], dict)}
+        return {**a, **b, **both}
+
+    def clean(raw: str | None) -> str | None:
+        if raw is None:
+            return "{}"
+        try:
+            given = json.loads(raw)
+        except ValueError:
+            return None
+        if not isinstance(given, dict):
+            return None
+        out, names = {}, {}
+        for k, v in given.items():
+            k, v = k.strip(), tidy(v)
+            if strip_empty and not v and k not in keep:
+                continue
+            first = names.setdefault(k.lower(), k)
+            if first not in out:
+                out[first] = v
+            elif isinstance(v, dict) and isinstance(out[first], dict):
+                out[first] = merged(out[first], v)
+        return json.dumps(out, sort_keys=sort_keys, ensure_ascii=False)
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(clean)
+
+    return run(c)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.config import DEFAULTS, FILE_KINDS
@@ -21,6 +21,7 @@ SWAPS = [
     (r"(?U)(?:^|(?<=\s))[|](?=\s)", "I"),
     (r"vv", "w"),
 ]
+#: Fixed value: a word.
 WORD = r"[A-Za-z0-9]+(?:['-][A-Za-z0-9]+)*"
 
 
@@ -92,9 +93,12 @@ def half_up(c: Column, digits: int) -> Column:
     return F.floor(c * scale + 0.5).cast("double") / scale
 
 
-def features(c: Column) -> Column:
-    """Ten measures of a text as a struct; all are 0 for an empty text."""
-    ws = words(c)
+def features(c: Column, listed: Column | None = None) -> Column:
+    """Ten measures of a text as a struct; all are 0 for an empty text.
+
+    listed: words(c) as a column of its own, so that the pattern runs once over the text; see with_features.
+    """
+    ws = words(c) if listed is None else listed
     n = F.size(ws).cast("long")
     lengths = F.transform(ws, F.length)
     distinct = F.size(F.array_distinct(F.transform(ws, F.lower))).cast("long")
@@ -116,6 +120,13 @@ def features(c: Column) -> Column:
     )
 
 
+def with_features(df: DataFrame, column: str = "text", name: str = "features") -> DataFrame:
+    """df with the struct of features(). The words are a column of their own, which Spark doesn't put back into each measure,
+    so the pattern runs once over a text."""
+    listed = df.withColumn("__words", words(F.col(column)))
+    return listed.withColumn(name, features(F.col(column), F.col("__words"))).drop("__words")
+
+
 def truncate_for_model(c: Column, most: int = DEFAULTS.model_chars) -> Column:
     return F.substring(c, 1, most)
 

@@ -22,19 +22,18 @@ def rolling_timings(timings: DataFrame, key: str, value: str, n: int, *order: Co
 
 
 def evict_lru(entries: DataFrame, size: str, budget: Column, *order: Column, salt: Column | None = None) -> DataFrame:
-    """Entries to drop, least recently used first, until the rest fits the budget.
+    """Entries to drop, least recently used first, until the rest fits the budget, with `before` and `total`.
 
-    A running sum over all entries would be one task; sums of `salt` groups that follow the order (a bucket of the order's
-    first column) come first, so each task sums one group.
+    A running sum over all entries would be one task (it is without salt, for small tables). salt numbers groups that follow
+    the order, nulls first, such as a bucket of the order's first column and, in a struct after it, of the next ones where
+    that is null: sums of the groups come first, then each task sums one group.
     """
-    total = F.sum(size).over(W.partitionBy(F.lit(0)))
-    if salt is None:
-        before = F.coalesce(F.sum(size).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        return entries.withColumn("before", before).withColumn("total", total).filter(F.col("total") - F.col("before") > budget)
-    entries = entries.withColumn("__g", salt)
-    groups = entries.groupBy("__g").agg(F.sum(size).alias("__s"))
-    groups = groups.select("__g", F.coalesce(F.sum("__s").over(W.orderBy(F.col("__g").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__b"), F.sum("__s").over(W.partitionBy(F.lit(0))).alias("total"))
+    entries = entries.withColumn("__g", F.lit(0) if salt is None else salt)
     inside = F.coalesce(F.sum(size).over(W.partitionBy("__g").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # One row a group, few enough for one task.
+    groups = entries.groupBy("__g").agg(F.sum(size).alias("__s"))
+    ahead = W.orderBy(F.col("__g").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    groups = groups.select("__g", F.coalesce(F.sum("__s").over(ahead), F.lit(0)).alias("__b"), F.sum("__s").over(W.partitionBy(F.lit(0))).alias("total"))
     joined = entries.withColumn("__i", inside).alias("e").join(groups.alias("g"), F.col("e.__g").eqNullSafe(F.col("g.__g")))
     return joined.select("e.*", (F.col("__b") + F.col("__i")).alias("before"), "total").filter(F.col("total") - F.col("before") > budget).drop("__g", "__i")
 
@@ -70,14 +69,6 @@ def backoff_delay(attempt: Column, base: float = DEFAULTS.retry_base_s, factor:
     return F.least(F.lit(base) * F.pow(F.lit(factor), attempt - 1), F.lit(cap))
 
 
-def severity(error: Column, attempts: Column) -> Column:
-    return F.when(error.isNull(), "info").when(attempts >= 3, "critical").otherwise("warning")
-
-
-def http_message(status: Column) -> Column:
-    return F.when(status == 404, "model not found").when(status == 429, "rate limited").when(status >= 500, "server error").when(status >= 400, "bad request").otherwise("ok")
-
-
 def transitions(events: DataFrame, key: str, status: str, *order: Column) -> DataFrame:
     return events.withColumn("status_from", F.lag(status).over(W.partitionBy(key).orderBy(*order)))
 

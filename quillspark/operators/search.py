@@ -9,7 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Sort names and their columns.
 SORT_FIELDS = {"created_at": "created_at", "updated_at": "updated_at", "filename": "filename", "status": "status", "confidence": "confidence_score", "size": "file_size"}
+#: Fixed value: a term of the index.
 TERM = r"[\p{L}\p{N}]+"
 
 
@@ -203,21 +205,51 @@ def matching(index: DataFrame, tree: tuple, key: str = "id") -> DataFrame:
     return left.join(right, key, "left_semi" if tree[0] == "and" else "left_anti")
 
 
-def bm25(docs: DataFrame, index: DataFrame, query: str, fields: list[str], key: str = "id") -> DataFrame:
-    """key, rank (negative, the lower the better) of the documents that match; k1 = 1.2, b = 0.75."""
+def bm25(docs: DataFrame, index: DataFrame, query: str, fields: list[str], key: str = "id", sizes: DataFrame | None = None) -> DataFrame:
+    """key, rank (negative, the lower the better) of the documents that match; k1 = 1.2, b = 0.75.
+
+    sizes: key and n_terms of every document; without them the texts are tokenised for it.
+    """
     if not query.strip():
         return docs.select(key, F.lit(0.0).alias("rank")).filter(F.lit(False))
-    tree = parse(query)
-    size = lengths(docs, fields, key)
+    return ranked(index, lengths(docs, fields, key) if sizes is None else sizes, parse(query), key)
+
+
+def ranked(index: DataFrame, size: DataFrame, tree: tuple, key: str = "id") -> DataFrame:
+    """key, rank of the documents that satisfy the tree. The postings of each phrase are read once: where the tree joins
+    phrases by AND or OR alone, matching is told from the same hits."""
     stats = size.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("avg_terms"))
-    parts = [phrase_hits(index, p, key).withColumn("p", F.lit(i)) for i, p in enumerate(phrases(tree))]
+    counted = phrases(tree)
+    parts = [phrase_hits(index, p, key).withColumn("p", F.lit(i)) for i, p in enumerate(counted)]
     hits = reduce(DataFrame.unionAll, parts)
     df = hits.groupBy("p").agg(F.count(F.lit(1)).alias("df"))  # one row a phrase
-    hits = hits.join(matching(index, tree, key), key, "left_semi").join(F.broadcast(df), "p").join(size, key).crossJoin(F.broadcast(stats))
+    met = needed(tree, [F.col("have").getItem(i) for i in range(len(counted))])
+    if met is None:
+        hits = hits.join(matching(index, tree, key), key, "left_semi")
+    # One row of statistics goes to every hit.
+    hits = hits.join(F.broadcast(df), "p").join(size, key).crossJoin(F.broadcast(stats))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, 1e-6).otherwise(idf)
     part = idf * F.col("hits") * 2.2 / (F.col("hits") + 1.2 * (0.25 + 0.75 * F.col("n_terms") / F.col("avg_terms")))
-    return hits.groupBy(key).agg((-F.sum(part)).alias("rank"))
+    if met is None:
+        return hits.groupBy(key).agg((-F.sum(part)).alias("rank"))
+    have = F.array(*[F.max(F.col("p") == i) for i in range(len(counted))]).alias("have")
+    return hits.groupBy(key).agg((-F.sum(part)).alias("rank"), have).filter(met).drop("have")
+
+
+def needed(tree: tuple, have: list[Column]) -> Column | None:
+    """Whether the phrases that a document has satisfy the tree, in the order of phrases(); None where the tree has a not."""
+    left = iter(have)
+
+    def visit(t: tuple) -> Column | None:
+        if t[0] == "phrase":
+            return next(left)
+        if t[0] == "not":
+            return None
+        a, b = visit(t[1]), visit(t[2])
+        return None if a is None or b is None else (a & b if t[0] == "and" else a | b)
+
+    return visit(tree)
 
 
 def snippet(text: Column, words: list[str], width: int = 32) -> Column:
@@ -230,13 +262,20 @@ def snippet(text: Column, words: list[str], width: int = 32) -> Column:
     return F.concat(F.when(first > 1, "...").otherwise(""), F.array_join(shown, " "), F.when(F.size(ws) >= first + width, "...").otherwise(""))
 
 
-def search(docs: DataFrame, q: Query, chunk_counts: DataFrame | None = None, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def item(row: DataFrame) -> DataFrame:
+    """The result item of each row: all columns, structured_json parsed (null if it isn't JSON), chunks_count 0 if unknown."""
+    if "structured_json" in row.columns:
+        row = row.withColumn("structured_json", F.try_parse_json("structured_json"))
+    return row.fillna(0, ["chunks_count"]) if "chunks_count" in row.columns else row.withColumn("chunks_count", F.lit(0).cast("long"))
+
+
+def search(docs: DataFrame, q: Query, chunk_counts: DataFrame | None = None, index: DataFrame | None = None, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(page, total): ranked if the keyword is in the grammar, substring search otherwise, a filtered scan if it is blank."""
     fields = [f for f in ("filename", "extracted_text", "structured_json") if f in docs.columns]
     rows = docs
     if q.keyword.strip():
         try:
-            ranks = bm25(docs, index or postings(docs, fields), q.keyword, fields)
+            ranks = bm25(docs, postings(docs, fields) if index is None else index, q.keyword, fields, sizes=sizes)
             rows = docs.join(ranks, "id")
         except QueryError:
             rows = like_search(docs, q.keyword)

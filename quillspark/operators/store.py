@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window as W
 from quillspark.config import DEFAULTS
 from quillspark.functions.text import extension, file_kind
 
+#: The statuses of a document.
 STATUSES = ["pending", "uploaded", "extracting", "extracted", "preprocessing", "preprocessed", "ai_inferring", "ai_completed", "validating", "validated", "stored", "failed", "duplicate", "cancelled"]
 
 
@@ -29,23 +32,87 @@ def new_only(arrivals: DataFrame, known: DataFrame, key: str = "file_hash") -> D
     return arrivals.join(known.select(key), key, "left_anti")
 
 
-def already_known(arrivals: DataFrame, known: DataFrame, key: str = "file_hash") -> DataFrame:
-    return arrivals.join(known.select(key), key, "left_semi")
-
-
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str], version: str) -> DataFrame:
     """Changes win over rows of equal key if their version is as high."""
     both = table.withColumn("__new", F.lit(0)).unionByName(changes.withColumn("__new", F.lit(1)))
     return first_of_each(both, keys, F.col(version).desc(), F.col("__new").desc()).drop("__new")
 
 
+def lookup(table: DataFrame, key: str, value) -> DataFrame:
+    """The first row with a key's value, none if there isn't any; the filter reaches the scan."""
+    return table.filter(F.col(key) == value).limit(1)
+
+
+def insert(table: DataFrame, rows: DataFrame, unique: list[str]) -> DataFrame:
+    """The table with new rows; a row whose unique columns exist already, in the table or twice among the new, is an error."""
+    clash = rows.groupBy(*unique).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*unique)
+    known = rows.select(*unique).join(table.select(*unique), unique, "left_semi")
+    found = clash.unionByName(known).limit(1).collect()
+    if found:
+        raise ValueError(f"not unique: {found[0].asDict()}")
+    return table.unionByName(rows, allowMissingColumns=True)
+
+
 def update(table: DataFrame, key: str, value, now: float, **columns) -> DataFrame:
-    """Columns of one row set anew, unknown ones ignored, updated_at always bumped."""
+    """Columns of one row set anew, unknown ones ignored, updated_at always bumped; a missing id changes nothing."""
     hit = F.col(key) == value
-    sets = {c: F.when(hit, F.lit(v)).otherwise(F.col(c)) for c, v in {**columns, "updated_at": now}.items() if c in table.columns}
+    sets = {c: F.when(hit, F.lit(v).cast(table.schema[c].dataType)).otherwise(F.col(c)) for c, v in {**columns, "updated_at": now}.items() if c in table.columns}
     return table.withColumns(sets)
 
 
+def updated(table: DataFrame, key: str, value, now: float, **columns) -> tuple[DataFrame, DataFrame]:
+    """(the table after update, the row as it is then: none if the id is missing)"""
+    after = update(table, key, value, now, **columns)
+    return after, lookup(after, key, value)
+
+
+def delete(table: DataFrame, condition: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(what stays, one row with the number deleted): rows that satisfy the condition go, without one all do."""
+    hit = F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
+    return table.filter(~hit), table.filter(hit).agg(F.count(F.lit(1)).alias("deleted"))
+
+
+def children(parents: DataFrame, table: DataFrame, *order: str, key: str = "id", foreign: str = "document_id") -> DataFrame:
+    """A parent's rows of a child table in order: its chunks by index, its history by time."""
+    rows = table.join(parents.select(F.col(key).alias(foreign)), foreign, "left_semi")
+    return rows.orderBy(foreign, *order)
+
+
+def record(table: DataFrame) -> DataFrame:
+    """Rows as records: null texts are "", null numbers 0, a status that isn't known is failed."""
+    out = {}
+    for f in table.schema.fields:
+        kind = f.dataType.simpleString()
+        if f.name == "status":
+            out[f.name] = known_status(F.col("status"))
+        elif kind == "string":
+            out[f.name] = F.coalesce(F.col(f.name), F.lit(""))
+        elif kind in ("double", "bigint", "int"):
+            out[f.name] = F.coalesce(F.col(f.name), F.lit(0).cast(kind))
+    return table.withColumns(out)
+
+
+def delete_with_artifacts(gone: DataFrame, tables: dict[str, DataFrame], keys: dict[str, str]) -> dict[str, DataFrame]:
+    """Every table without the documents of `gone` (column id): keys says by which column each table knows them."""
+    return {name: t.join(gone.select(F.col("id").alias(keys[name])), keys[name], "left_anti") for name, t in tables.items()}
+
+
+def transaction(spark, changes: dict[str, DataFrame]) -> None:
+    """Replace several tables (path -> rows), each as a whole. All are staged first; if staging fails none changes."""
+    from quillspark.sources import backup
+
+    staged = {}
+    try:
+        for path, rows in changes.items():
+            staged[path] = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+            rows.write.parquet(staged[path])
+        for path, at in staged.items():
+            backup.replace(spark, spark.read.parquet(at), path)
+    finally:
+        for at in staged.values():
+            backup.remove(spark, at)
+
+
 def delete_cascade(parents: DataFrame, children: DataFrame, gone: DataFrame, key: str = "id", foreign: str = "document_id") -> tuple[DataFrame, DataFrame]:
     return parents.join(gone.select(key), key, "left_anti"), children.join(gone.select(F.col(key).alias(foreign)), foreign, "left_anti")
 

@@ -159,12 +159,12 @@ h AS (SELECT doc_id, lang, CAST(n AS BIGINT) AS word_count, CAST(length(text) AS
 
 @query(f"WITH {_FEATURES} SELECT * EXCLUDE (lang) FROM h")
 def features_all(t):
-    return t("documents").select("doc_id", text.features(F.col("text")).alias("f")).select("doc_id", "f.*")
+    return text.with_features(t("documents").select("doc_id", "text"), name="f").select("doc_id", "f.*")
 
 
 @query(f"WITH {_FEATURES} SELECT lang, count(*) AS docs, CAST(sum(word_count) AS BIGINT) AS words, {_half_up('avg(avg_word_length)', 2)} AS mean_word_length FROM h GROUP BY lang")
 def features_by_lang(t):
-    rows = t("documents").select("lang", text.features(F.col("text")).alias("f"))
+    rows = text.with_features(t("documents").select("lang", "text"), name="f")
     return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("f.word_count").alias("words"), text.half_up(F.avg("f.avg_word_length"), 2).alias("mean_word_length"))
 
 
@@ -383,7 +383,8 @@ def confidence_level(t):
     return library(t("documents")).select("id", structure.confidence_level(F.col("confidence_score")).alias("level"))
 
 
-_OVERLAP = """o AS (SELECT doc_id, item_id, lower(b.text) AS a, trim(lower(d.text)) AS b, length(b.text) AS n FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id),
+_OVERLAP = """bench AS (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS turn, count(*) OVER () AS items FROM benchmark),
+o AS (SELECT doc_id, item_id, lower(b.text) AS a, trim(lower(d.text)) AS b, length(b.text) AS n FROM documents d JOIN bench b ON d.doc_id % b.items = b.turn),
 w AS (SELECT *, least(100, n // 4) AS wd FROM o), v AS (SELECT *, greatest(1, wd // 2) AS st FROM w),
 z AS (SELECT doc_id, item_id, n, CASE WHEN n < 20 THEN CAST(contains(b, a) AS DOUBLE) ELSE len(list_filter(range(0, n - wd + 1, st), lambda i: contains(b, substr(a, i + 1, wd)))) * wd / CAST(n AS DOUBLE) END AS ratio, b FROM v)"""
 
@@ -433,7 +434,7 @@ def json_close_truncated(t):
     return t("documents").select("doc_id", structure.close_truncated(_answers()).alias("fixed"))
 
 
-@query("SELECT doc_id, '{\"gone\":null,\"lang\":\"' || lang || '\",\"n\":[1,2],\"name\":\"' || source || '\",\"ok\":true}' AS parsed FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id % 2 = 1 AND false")
+@query("SELECT doc_id, '{\"gone\":null,\"lang\":\"' || lang || '\",\"n\":[1,2],\"name\":\"' || source || '\",\"ok\":true}' AS parsed FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id % 2 = 1")
 def json_repair_parse(t):
     return t("documents").select("doc_id", structure.parse_json(_answers()).alias("parsed"))
 
@@ -459,10 +460,16 @@ def _cache(t) -> DataFrame:
     return t("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("entry_type"), F.floor(F.col("value") * 1000).cast("long").alias("size_bytes"), F.when(F.col("event_id") % 9 != 0, seconds).alias("last_accessed"), (F.col("event_id") % 5).alias("access_count"), (seconds + 3600).alias("expires_at"))
 
 
+def _hours() -> Column:
+    """Groups along the order of eviction: hours of access, and ranges of ids for entries that were never read."""
+    never = F.col("last_accessed").isNull()
+    return F.struct(F.floor(F.col("last_accessed") / 3600), F.when(never, F.col("access_count")), F.when(never, F.floor(F.col("id") / 1000)))
+
+
 @query(f"WITH {_CACHE}, r AS (SELECT id, coalesce(sum(size_bytes) OVER (ORDER BY last_accessed NULLS FIRST, access_count, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size_bytes) OVER () AS total FROM c) SELECT id, CAST(before AS BIGINT) AS before FROM r WHERE total - before > total / 2")
 def lru_evict(t):
     order = [F.col("last_accessed").asc_nulls_first(), F.col("access_count"), F.col("id")]
-    out = operations.evict_lru(_cache(t), "size_bytes", F.col("total") / 2, *order, salt=F.floor(F.col("last_accessed") / 3600))
+    out = operations.evict_lru(_cache(t), "size_bytes", F.col("total") / 2, *order, salt=_hours())
     return out.select("id", "before")
 
 

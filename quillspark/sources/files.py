@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import extension, file_kind
+from quillspark.operators.recovery import retried
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -43,10 +44,11 @@ def extract(files: DataFrame, extractors: dict[str, Extractor]) -> DataFrame:
             out = []
             for path, category, content in frame.itertuples(index=False):
                 try:
+                    if category not in extractors:
+                        out.append((path, category, "", 0.0, f"no extractor for {category}"))
+                        continue
                     text, confidence = extractors[category](bytes(content))
                     out.append((path, category, text, confidence, None))
-                except KeyError:
-                    out.append((path, category, "", 0.0, f"no extractor for {category}"))
                 except Exception as e:  # any library error belongs to the record
                     out.append((path, category, "", 0.0, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["path", "category", "text", "confidence", "error"])
@@ -54,8 +56,10 @@ def extract(files: DataFrame, extractors: dict[str, Extractor]) -> DataFrame:
     return rows.mapInPandas(run, RESULT)
 
 
-def infer(docs: DataFrame, model: Callable[[str], str] | None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, answer, error: a model's answer to each text; without a model a record that says so."""
+def infer(docs: DataFrame, model: Callable[[str], str] | None, text: str = "text", key: str = "doc_id", **retry) -> DataFrame:
+    """doc_id, answer, error: a model's answer to each text, tried again as recovery.retried does (attempts, base, factor, cap,
+    sleep); an empty answer is an error. Without a model a record that says so. The model is built once for each batch of
+    tasks that a Python worker runs: pass an object that connects when it is first called."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
     if model is None:
         return rows.select("doc_id", F.lit(None).cast("string").alias("answer"), F.lit("no model available").alias("error"))
@@ -65,7 +69,8 @@ def infer(docs: DataFrame, model: Callable[[str], str] | None, text: str = "text
             out = []
             for i, t in frame.itertuples(index=False):
                 try:
-                    out.append((i, model(t) or None, None))
+                    answer = retried(model, t, **retry)
+                    out.append((i, answer or None, None if answer else "the model gave an empty answer"))
                 except Exception as e:  # a failed call is a failed record
                     out.append((i, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["doc_id", "answer", "error"])

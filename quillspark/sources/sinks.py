@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import csv
-import io
+import datetime
 import json
 import zipfile
 from collections.abc import Iterator
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import size_label, timestamp_label
 
+#: The columns of an export in their order.
 METADATA = ["id", "filename", "file_path", "file_size", "mime_type", "file_hash", "status", "created_at", "updated_at", "confidence_score", "error_message", "processing_time"]
 COLUMNS = [*METADATA, "extracted_text", "structured_json"]
 
@@ -30,10 +31,6 @@ def write_csv_folder(docs: DataFrame, path: str) -> None:
     docs.select(*[c for c in COLUMNS if c in docs.columns]).write.option("header", True).option("escape", '"').csv(path)
 
 
-def read_log(spark, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-
-
 def _rows(docs: DataFrame) -> Iterator[Row]:
     return docs.orderBy("id").toLocalIterator()
 
@@ -63,58 +60,98 @@ def csv_file(docs: DataFrame, path: str) -> int:
 
 
 def report_blocks(docs: DataFrame) -> DataFrame:
-    """id and the report's block of each document."""
-    rule = "-" * 78
+    """id and the report's block of each document, without its number."""
     schema = F.coalesce(F.get_json_object("structured_json", "$.document_type"), F.get_json_object("structured_json", "$.type"), F.lit("N/A"))
     has = F.coalesce(F.col("extracted_text"), F.lit("")) != ""
+    known = {c: F.col(c) if c in docs.columns else F.lit(None) for c in ("updated_at", "processing_time")}
+    line = lambda label, value: F.concat(F.lit(f"  {label + ':':<17}"), value)
     lines = [
-        F.concat(F.lit("Document: "), F.col("filename")),
-        F.lit(rule),
-        F.concat(F.lit("  ID:              "), F.col("id").cast("string")),
-        F.concat(F.lit("  Type:            "), F.col("mime_type")),
-        F.concat(F.lit("  Status:          "), F.col("status")),
-        F.concat(F.lit("  Size:            "), size_label(F.col("file_size"))),
-        F.concat(F.lit("  Created:         "), timestamp_label(F.col("created_at"))),
-        F.format_string("  Confidence:      %.2f", "confidence_score"),
-        F.when(has, F.concat(F.lit("  Text length:     "), F.format_number(F.length("extracted_text"), 0), F.lit(" chars"))),
-        F.when(F.col("structured_json").isNotNull(), F.concat(F.lit("  Schema type:     "), schema)),
-        F.when(F.coalesce(F.col("error_message"), F.lit("")) != "", F.concat(F.lit("  Error:           "), F.col("error_message"))),
-        F.when(has, F.concat(F.lit("  Preview:         "), F.replace(F.substring("extracted_text", 1, 200), F.lit("\n"), F.lit(" ")))),
+        F.col("filename"),
+        F.lit("-" * 78),
+        line("ID", F.col("id").cast("string")),
+        line("Type", F.col("mime_type")),
+        line("Status", F.col("status")),
+        line("Size", size_label(F.col("file_size"))),
+        line("Created", timestamp_label(F.col("created_at"))),
+        line("Updated", timestamp_label(known["updated_at"].cast("double"))),
+        line("Confidence", F.format_string("%.2f", "confidence_score")),
+        line("Processing time", F.format_string("%.1fs", F.coalesce(known["processing_time"].cast("double"), F.lit(0.0)))),
+        F.when(has, line("Text length", F.concat(F.format_number(F.length("extracted_text"), 0), F.lit(" chars")))),
+        F.when(F.col("structured_json").isNotNull(), line("Schema type", schema)),
+        F.when(F.coalesce(F.col("error_message"), F.lit("")) != "", line("Error", F.col("error_message"))),
+        F.lit(""),
+        F.when(has, F.concat(F.lit("  Preview (first 200 chars):\n    "), F.replace(F.substring("extracted_text", 1, 200), F.lit("\n"), F.lit(" ")))),
     ]
     return docs.select("id", F.concat_ws("\n", *lines).alias("block"))
 
 
 def report_file(docs: DataFrame, path: str) -> int:
-    n = 0
+    n, rule = docs.count(), "=" * 78
     with open(path, "w", encoding="utf-8") as f:
-        f.write("=" * 78 + "\n EXPORT REPORT\n" + "=" * 78 + "\n")
-        for n, r in enumerate(_rows(report_blocks(docs)), 1):
-            f.write(f"{r.block}\n\n{'=' * 78}\n")
-        f.write(f"Documents: {n}\n")
+        f.write(f"{rule}\n EXPORT REPORT\n Generated: {datetime.datetime.now():%Y-%m-%d %H:%M:%S}\n Documents: {n}\n{rule}\n\n")
+        for i, r in enumerate(_rows(report_blocks(docs)), 1):
+            f.write(f"Document {i}: {r.block}\n\n{rule}\n\n")
     return n
 
 
 def excel_file(docs: DataFrame, path: str) -> int:
+    """Sheets Documents and Metadata (without texts), a styled header, columns as wide as their longest value up to 60. Rows
+    are streamed into the workbook; column widths come from an aggregate."""
     try:
-        import openpyxl  # noqa: F401
+        from openpyxl import Workbook
+        from openpyxl.cell import WriteOnlyCell
+        from openpyxl.styles import Alignment, Font, PatternFill
+        from openpyxl.utils import get_column_letter
     except ImportError as e:
         raise RuntimeError("Excel export needs openpyxl") from e
-    frame = docs.orderBy("id").toPandas()
-    frame.to_excel(path, sheet_name="Documents", index=False)
-    return len(frame)
+    book, n = Workbook(write_only=True), 0
+    for title, rows in (("Documents", docs), ("Metadata", metadata_only(docs))):
+        names = [c for c in COLUMNS if c in rows.columns]
+        sheet = book.create_sheet(title)
+        wide = excel_widths(rows.select(names)).first()
+        for i, c in enumerate(names, 1):
+            sheet.column_dimensions[get_column_letter(i)].width = wide[c]
+        heads = [WriteOnlyCell(sheet, c) for c in names]
+        for h in heads:
+            h.font, h.fill, h.alignment = Font(bold=True, color="FFFFFF"), PatternFill("solid", start_color="4472C4", end_color="4472C4"), Alignment(horizontal="center")
+        n = 0
+        for n, r in enumerate(_rows(rows), 1):
+            if n == 1:
+                sheet.append(heads)
+            sheet.append([r[c] for c in names])
+    book.save(path)
+    return n
+
+
+def excel_widths(rows: DataFrame) -> DataFrame:
+    """One row: for each column the width of its longest value or name, and 3, at most 60."""
+    longest = lambda c: F.greatest(F.coalesce(F.max(F.length(F.col(c).cast("string"))), F.lit(0)), F.lit(len(c)))
+    return rows.agg(*[F.least(longest(c) + 3, F.lit(60)).alias(c) for c in rows.columns])
 
 
 SINKS = {"json": json_file, "csv": csv_file, "txt": report_file, "xlsx": excel_file}
 
 
-def export(docs: DataFrame, kind: str, path: str) -> dict:
-    """Dispatch by format; unknown formats, and zip, are errors."""
+def default_path(folder: str, kind: str, suffix: str = "", now: datetime.datetime | None = None) -> str:
+    """folder/export_yyyymmdd_hhmmss[_suffix].kind"""
+    stamp = f"{now or datetime.datetime.now():%Y%m%d_%H%M%S}"
+    return str(Path(folder) / ("_".join(["export", stamp, *([suffix] if suffix else [])]) + f".{kind}"))
+
+
+def export(docs: DataFrame, kind: str, path: str | None = None, folder: str = ".") -> dict:
+    """Dispatch by format, to a timestamped name in folder if no path is given; unknown formats, and zip, are errors."""
     if kind not in SINKS:
         raise ValueError(f"unsupported export format {kind!r}")
+    path = path or default_path(folder, kind)
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
     n = SINKS[kind](docs, path)
     return {"format": kind, "path": path, "count": n, "bytes": Path(path).stat().st_size}
 
 
+def export_one(docs: DataFrame, key: str, kind: str, path: str | None = None, folder: str = ".") -> dict:
+    return export(docs.filter(F.col("id") == key), kind, path, folder)
+
+
 def zip_file(docs: DataFrame, path: str, originals: list[str] = ()) -> list[str]:
     """documents.json, metadata.json, documents.csv, report.txt and the originals that exist, by bare name."""
     import tempfile
@@ -128,11 +165,3 @@ def zip_file(docs: DataFrame, path: str, originals: list[str] = ()) -> list[str]
             if Path(f).is_file():
                 z.write(f, f"originals/{Path(f).name}")
         return z.namelist()
-
-
-def csv_text(rows: list[dict], names: list[str]) -> str:
-    out = io.StringIO()
-    w = csv.DictWriter(out, names)
-    w.writeheader()
-    w.writerows(rows)
-    return out.getvalue()
