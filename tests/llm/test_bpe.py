@@ -53,3 +53,35 @@ def test_tables(spark):
     assert rows == {(1, 2), (2, 0), (None, 0)}
     assert sorted(r.text for r in bpe.decode_documents(bpe.encode_documents(df, PATH), PATH).collect()) == ["", "", "a b", "a b"]
     assert bpe.round_trip_digests(df.limit(0), PATH).count() == 0
+
+
+def test_boundaries_cut_the_word_into_its_tokens():
+    own = bpe.ByteBPE(tokenizer_file("byte_bpe_50k.json"))
+    rnd = random.Random(9)
+    for n in [0, 1, 2, 7, 40, 128, 129, 600]:
+        for _ in range(20):
+            word = "".join(rnd.choice("theandingé ") for _ in range(n)).encode()
+            bounds, ids = own.parts(word)
+            assert bounds[0] == 0 and bounds[-1] == len(word)
+            assert [word[a:b] for a, b in zip(bounds, bounds[1:], strict=False)] == [own.pieces[i] for i in ids]
+
+
+def test_the_cache_is_bounded_in_words_and_bytes():
+    cache = bpe.WordCache(lambda w: w.encode() * 2, 50, 40_000)
+    for i in range(3000):
+        word = f"{i}" * (1 + i % 90)
+        assert cache[word] == word.encode() * 2
+        assert len(cache) <= 50 and len(cache.old) <= 50
+        assert sum(4 * len(w) + len(v) + bpe.ENTRY_BYTES for w, v in cache.items()) == cache.bytes <= 40_000
+    assert cache["x" * 10_000] == b"x" * 20_000 and "x" * 10_000 not in cache
+
+
+def test_narrow_split_is_the_public_one():
+    import regex
+
+    own, public = bpe.ByteBPE(PATH), regex.compile(bpe.SPLIT).findall
+    rnd = random.Random(4)
+    some = "aé'stmdrevl 1²½.,-_\t\n\r\x0b\x0c\x1c\x1f\x85\xa0ªµºŉǅ"
+    for k in range(4000):
+        t = "".join(rnd.choice(some) if k % 2 else chr(rnd.randrange(0x250)) for _ in range(rnd.randrange(30)))
+        assert own.split_narrow(t) == public(t), t
