@@ -3,7 +3,8 @@
 An id is cut into chunks of CHUNK_BITS bits, lowest first. Level k holds chunk k of every id that has one, packed; a bitmap
 beside it says which of these ids go on in level k + 1, and a directory holds the number of set bits before each block of
 512. Token i is read without its neighbours: chunk 0 at i, and while the bit there is set, the next chunk at the rank of
-that bit.
+that bit. A run of tokens is read alike: its chunks of each level lie between the ranks of its ends. Readers never decode
+a segment as a whole: document_report reads the ids of each document so, read_at single tokens of a file by number.
 
 A token file is a table in the shared store; each row is a segment of up to SEGMENT_TOKENS ids (one document at least) of
 consecutive documents in ascending doc_id: a blob with header, document ends and levels, and beside it bucket, position,
@@ -16,6 +17,7 @@ one doc_id are ordered by their texts. Extra columns are ignored; an empty table
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from array import array
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.bpe import WordCache, byte_alphabet
+from quillspark.llm.bpe import NARROW, SPACE, WordCache, byte_alphabet, narrow_class
 from quillspark.llm.common import batch_of, ordered_buckets, scratch_path, small_batches, text_or_empty
 
 CHUNK_BITS = 8
@@ -81,26 +83,43 @@ class Codes:
         if not 0 <= i < len(self):
             raise IndexError(i)
         value, shift = 0, 0
-        for chunks, bits, directory in self.levels:
+        for chunks, bits, _ in self.levels:
             value |= int(chunks[i]) << shift
             if not bits[i >> 3] >> (i & 7) & 1:
                 break
-            block = i // BLOCK
-            inside = int.from_bytes(bits[block * (BLOCK // 8) : (i >> 3) + 1].tobytes(), "little") & ((1 << i - block * BLOCK) - 1)
-            i = int(directory[block]) + inside.bit_count()
+            i = self.rank(shift // CHUNK_BITS, i)
             shift += CHUNK_BITS
         return value
 
-    def all(self) -> np.ndarray:
-        """Every id at once, level by level from the last."""
+    def rank(self, level: int, i: int) -> int:
+        """Set bits before place i of a level, from the directory and one block at most."""
+        _, bits, directory = self.levels[level]
+        block = i // BLOCK
+        if not i % BLOCK:
+            return int(directory[block])
+        inside = int.from_bytes(bits[block * (BLOCK // 8) : (i >> 3) + 1].tobytes(), "little") & ((1 << i - block * BLOCK) - 1)
+        return int(directory[block]) + inside.bit_count()
+
+    def run(self, start: int, end: int) -> np.ndarray:
+        """Ids start to end - 1: their chunks of each level, and no others, are read."""
+        if not 0 <= start <= end <= len(self):
+            raise IndexError((start, end))
+        spans = [(start, end)]
+        while len(spans) < len(self.levels) and spans[-1][0] < spans[-1][1]:
+            s, e = spans[-1]
+            spans.append((self.rank(len(spans) - 1, s), self.rank(len(spans) - 1, e)))
         above = np.zeros(0, np.uint32)
-        for chunks, bits, _ in reversed(self.levels):
-            ids = chunks.astype(np.uint32)
-            on = np.flatnonzero(np.unpackbits(bits, count=len(chunks), bitorder="little"))
-            ids[on] |= above << np.uint32(CHUNK_BITS)
+        for (s, e), (chunks, bits, _) in reversed(list(zip(spans, self.levels, strict=False))):
+            ids = chunks[s:e].astype(np.uint32)
+            if len(above):
+                on = np.flatnonzero(np.unpackbits(bits[s >> 3 : (e + 7) >> 3], bitorder="little")[s & 7 : (s & 7) + e - s])
+                ids[on] |= above << np.uint32(CHUNK_BITS)
             above = ids
         return above
 
+    def all(self) -> np.ndarray:
+        return self.run(0, len(self))
+
 
 def pack_segment(doc_ids: list, ends: np.ndarray, ids: np.ndarray) -> bytes:
     known = np.packbits([i is not None for i in doc_ids], bitorder="little").tobytes()
@@ -122,41 +141,41 @@ def unpack_segment(blob: bytes) -> tuple[list, np.ndarray, Codes]:
 class WordTokenizer:
     """The tokenizers library behind a cache of words.
 
-    The tokenizer file splits a lower-cased text into words that it encodes one by one, so each word goes through the library
-    once. Only texts up to U+024F and without added tokens are split here, where normalisation is lower case alone; for
-    all others the library encodes the whole text.
+    The tokenizer file splits a lower-cased text into words that it encodes one by one, so each word goes through the library's
+    model once. Only texts up to U+024F and without added tokens are split here, where normalisation is lower case alone;
+    for all others the library encodes the whole text.
     """
 
-    #: Fixed value: the split of the word tokenizer's file.
-    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.wide = regex.compile(r"[^\x00-ɏ]").search
-        self.split = regex.compile(self.SPLIT).findall
+        self.wide = re.compile(rf"[^\x00-{chr(NARROW)}]").search
+        letters, digits = narrow_class("L"), narrow_class("N")
+        # The split of the word tokenizer's file: contractions, runs of letters, single digits, runs of other marks.
+        self.split = re.compile(rf"[{letters}]+|'(?:[stmd]|re|ve|ll)|[{digits}]|[^{SPACE}{letters}{digits}]+").findall
         # A word needs neither normaliser nor split any more: the library's model encodes it in its byte alphabet.
         alphabet, merge = byte_alphabet(), self.library.model.tokenize
         self.cache = WordCache(lambda w: array("I", [t.id for t in merge(w if w.isascii() and w.isprintable() else "".join([alphabet[b] for b in w.encode()]))]).tobytes())
         self.plain = self._splits_alike()
 
     def _splits_alike(self) -> bool:
-        probe = "It's WE'LL naïve 12 a1b ... (x) é\tÀ\n--  don't_stop"
-        return self._by_words(probe) == self._whole(probe)
+        probe = "It's WE'LL naïve 12 a1b ... (x) é\tÀ\n--  don't_stop\x85a\xa0b"
+        return self._by_words(probe.lower()) == self._whole(probe)
 
-    def _by_words(self, text: str) -> bytes:
-        return b"".join(map(self.cache.__getitem__, self.split(text.lower())))
+    def _by_words(self, lowered: str) -> bytes:
+        return b"".join(map(self.cache.__getitem__, self.split(lowered)))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode_bytes(self, text: str) -> bytes:
-        if not self.plain or "İ" in text or self.wide(text) or any(t in text for t in self.added):
+        lowered = text.lower()
+        # A few letters up to U+024F have small forms beyond it.
+        if not self.plain or self.wide(text) or self.wide(lowered) or any(t in text for t in self.added):
             return self._whole(text)
-        return self._by_words(text)
+        return self._by_words(lowered)
 
 
 @lru_cache(2)
@@ -226,14 +245,37 @@ def document_report(segments: DataFrame) -> DataFrame:
         for b in batches:
             for start, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 doc_ids, ends, codes = unpack_segment(blob.as_py())
-                ids = memoryview(codes.all().astype("<u4")).cast("B")
                 begins = np.concatenate([[0], ends[:-1]])
-                crc = [zlib.crc32(ids[4 * s : 4 * e]) for s, e in zip(begins.tolist(), ends.tolist(), strict=True)]
+                crc = [zlib.crc32(codes.run(s, e).astype("<u4", copy=False)) for s, e in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield batch_of(REPORT, [doc_ids, begins + start, ends - begins, crc])
 
     return segments.select("start", "blob").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def read_at(segments: DataFrame, wanted: DataFrame, place: str = "place") -> DataFrame:
+    """place, id: the token at each number of `wanted` (from 0 over the whole file), read by itself from its segment.
+
+    Numbers outside the file, and null, give no row; repeated ones one row. Of the segments only bounds take part in the
+    search: bucket bounds (100,000 at most) are broadcast, then a number meets the segments of its bucket.
+    """
+    bounds = segments.select("bucket", "segment", "start", "n_tokens")
+    buckets = bounds.groupBy("bucket").agg(F.min("start").alias("low"), F.max(F.col("start") + F.col("n_tokens")).alias("high"))
+    p = F.col("place")
+    at = wanted.select(F.col(f"`{place}`").cast("long").alias("place")).distinct()
+    at = at.join(F.broadcast(buckets), (p >= F.col("low")) & (p < F.col("high"))).select("place", "bucket")
+    at = at.join(bounds, "bucket").filter((p >= F.col("start")) & (p < F.col("start") + F.col("n_tokens")))
+    at = at.groupBy("bucket", "segment").agg(F.collect_list(p - F.col("start")).alias("at"))  # at most a segment's tokens
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("place", pa.int64()), ("id", pa.int64())])
+        for b in batches:
+            for start, blob, places in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                *_, codes = unpack_segment(blob.as_py())
+                yield batch_of(schema, [[start + i for i in places], [codes[i] for i in places]])
+
+    return segments.join(at, ["bucket", "segment"]).select("start", "blob", "at").mapInArrow(run, "place long, id long")
+
+
 def file_round_trip(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", end_id: int = END_ID) -> DataFrame:
     """Write a token file in the shared folder, read it back and report on each document."""
     spark = docs.sparkSession

@@ -21,6 +21,8 @@ def test_random_access_by_brute_force():
             codes = tokenfile.Codes(blob)
             assert codes.end == len(blob) and np.array_equal(codes.all(), ids)
             assert all(codes[int(i)] == ids[i] for i in (rnd.integers(0, n, 200) if n else []))
+            for a, b in [sorted(rnd.integers(0, n + 1, 2).tolist()) for _ in range(40)]:
+                assert np.array_equal(codes.run(a, b), ids[a:b])
     with pytest.raises(IndexError):
         codes[5000]
 
@@ -30,7 +32,7 @@ def test_words_as_the_library_encodes_whole_texts():
     assert own.plain
     rnd = random.Random(6)
     more = ["".join(chr(rnd.randrange(1, 0x250)) for _ in range(60)) for _ in range(400)]
-    for t in [*texts(), *more, "ΑΣ ΣΑΣ", "İI", "é", "<|startoftext|>x", "A'S it's 'LL", "a_b-c__d"]:
+    for t in [*texts(), *more, "ΑΣ ΣΑΣ", "İI", "é", "<|startoftext|>x", "A'S it's 'LL", "a_b-c__d", "a\x1cb\x1fc \x1d", "x\x85y\xa0z", "Ÿ ß'S", "½ ² a²b", "\x0b\x0c"]:
         assert np.frombuffer(own.encode_bytes(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
@@ -50,5 +52,20 @@ def test_file_by_brute_force(spark, monkeypatch, bucket_bytes, segment):
     assert got == want
 
 
+def test_tokens_by_number(spark, monkeypatch):
+    """Single tokens of a file of many buckets and segments, by their number in the file."""
+    monkeypatch.setattr(common.ordered_buckets, "__defaults__", (900,))
+    monkeypatch.setattr(tokenfile, "SEGMENT_TOKENS", 50)
+    library, rnd = Tokenizer.from_file(PATH), random.Random(8)
+    rows = [(i, " ".join(rnd.choice(["word", "naïve", "x1", "..."]) for _ in range(rnd.randrange(60)))) for i in range(60)]
+    path = common.scratch_path(spark, "t")
+    tokenfile.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, PATH)
+    ids = [i for _, t in rows for i in [*library.encode(t, add_special_tokens=False).ids, 1]]
+    wanted = spark.createDataFrame([(int(i), 0) for i in range(-3, len(ids) + 5, 3)] + [(0, 0), (None, 0)], "place long, id int")
+    segments = tokenfile.read_tokens(spark, path)
+    assert segments.count() > 10
+    assert sorted((r.place, r.id) for r in tokenfile.read_at(segments, wanted).collect()) == [(i, ids[i]) for i in range(0, len(ids), 3)]
+
+
 def test_empty_table(spark):
     assert tokenfile.file_round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
