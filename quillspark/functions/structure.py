@@ -114,11 +114,18 @@ def repairs_needed(c: Column) -> Column:
     """Names of the repairs that change the text, each applied to the result of those before, and `first_object` if the
     first balanced object isn't the whole text."""
     t = strip(c)
-    empty = F.struct(t.alias("now"), F.array().cast("array<string>").alias("names"))
-    state = empty
+    none = F.array().cast("array<string>")
+
+    def after(state: Column, name: str, step: Callable[[Column], Column]) -> Column:
+        def compared(s: Column) -> Column:
+            return let(step(s["now"]), lambda x: F.struct(x.alias("now"), F.when(x != s["now"], F.concat(s["names"], F.array(F.lit(name)))).otherwise(s["names"]).alias("names")))
+
+        return let(state, compared)
+
+    state = F.struct(t.alias("now"), none.alias("names"))
     for name, step in REPAIRS.items():
-        state = let(state, lambda s, name=name, step=step: let(step(s["now"]), lambda after: F.struct(after.alias("now"), F.when(after != s["now"], F.concat(s["names"], F.array(F.lit(name)))).otherwise(s["names"]).alias("names"))))
-    found = let(first_object(t), lambda f: F.when((f != "") & (f != t), F.array(F.lit("first_object"))).otherwise(F.array().cast("array<string>")))
+        state = after(state, name, step)
+    found = let(first_object(t), lambda f: F.when((f != "") & (f != t), F.array(F.lit("first_object"))).otherwise(none))
     return F.concat(state["names"], found)
 
 
@@ -223,8 +230,6 @@ def clean_nested_metadata(c: Column, strip_empty: bool = True, sort_keys: bool =
     """
     import json
 
-    import pandas as pd
-
     def tidy(v):
         if isinstance(v, str):
             return v.strip()
@@ -258,7 +263,7 @@ def clean_nested_metadata(c: Column, strip_empty: bool = True, sort_keys: bool =
         return json.dumps(out, sort_keys=sort_keys, ensure_ascii=False)
 
     @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
+    def run(texts):
         return texts.map(clean)
 
     return run(c)

@@ -171,10 +171,11 @@ def size_label(n: Column) -> Column:
 
 
 def size_label_all_units(n: Column) -> Column:
-    """One decimal at every unit up to PB."""
-    out, x = F.format_string("%.1f PB", n.cast("double") / 1024.0**5), n.cast("double")
+    """One decimal at every unit up to PB; exact halves go to the even digit."""
+    x = n.cast("double")
+    out = F.format_string("%.1f PB", F.bround(x / 1024.0**5, 1))
     for k, unit in reversed(list(enumerate(["B", "KB", "MB", "GB", "TB"]))):
-        out = F.when(F.abs(x) < 1024.0 ** (k + 1), F.format_string(f"%.1f {unit}", x / 1024.0**k)).otherwise(out)
+        out = F.when(F.abs(x) < 1024.0 ** (k + 1), F.format_string(f"%.1f {unit}", F.bround(x / 1024.0**k, 1))).otherwise(out)
     return out
 
 
@@ -183,7 +184,7 @@ def timestamp_label(epoch: Column) -> Column:
 
 
 def percent_label(score: Column) -> Column:
-    return F.when(score.isNull(), "—").otherwise(F.format_string("%.0f%%", score * 100))
+    return F.when(score.isNull(), "—").otherwise(F.format_string("%.0f%%", F.bround(score * 100, 0)))
 
 
 def type_label(kind: Column) -> Column:

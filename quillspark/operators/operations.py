@@ -15,6 +15,21 @@ def newest(df: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("rn") <= n)
 
 
+def beyond_newest(df: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
+    """The rows that retention removes: all but the newest n of each key."""
+    return df.withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("rn") > n).drop("rn")
+
+
+def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The newest row of each key by the order columns, the last of which is unique: an aggregate, nothing is sorted."""
+    kept = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.max_by(F.struct(*kept), F.struct(*order)).alias("e")).select(key, "e.*")
+
+
+def count_by(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
 def rolling_timings(timings: DataFrame, key: str, value: str, n: int, *order: Column) -> DataFrame:
     """Mean (2 digits) and count of the newest n records of each key."""
     kept = newest(timings, key, n, *order)
@@ -78,6 +93,19 @@ def assembled(rows: DataFrame, key: str, order: str, text: str, sep: str = " ")
     return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), sep).alias("text"))
 
 
+def chat_history(rows: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", system: Column | None = None) -> DataFrame:
+    """(key, messages): an array of struct(role, content), the system message first if there is one, then the turns in order.
+
+    system: the system prompt (null or empty: none), an expression over the key. A conversation is one row, as models take it.
+    """
+    turns = F.array_sort(F.collect_list(F.struct(F.col(order).alias("order"), F.col(role).alias("role"), F.col(text).alias("content"))))
+    out = rows.groupBy(key).agg(F.transform(turns, lambda x: F.struct(x["role"], x["content"])).alias("messages"))
+    if system is None:
+        return out
+    first = F.when(F.coalesce(system, F.lit("")) != "", F.array(F.struct(F.lit("system").alias("role"), system.alias("content"))))
+    return out.withColumn("messages", F.concat(F.coalesce(first, F.slice("messages", 1, 0)), "messages"))
+
+
 def ocr_page(words: Column) -> Column:
     """struct(text, confidence) of an array of struct(text, conf): words with conf > 0 that aren't blank."""
     kept = F.filter(words, lambda w: (w["conf"] > 0) & (F.trim(w["text"]) != ""))

@@ -76,6 +76,11 @@ def page_count(total: int, size: int) -> int:
     return max(1, -(-total // size))
 
 
+def totals(docs: DataFrame, size: int = 20) -> DataFrame:
+    """One row: total, and the number of pages, at least 1."""
+    return docs.agg(F.count(F.lit(1)).alias("total")).select("total", F.greatest(F.lit(1), F.ceil(F.col("total") / float(size))).cast("long").alias("pages"))
+
+
 def fold(c: Column) -> Column:
     """Small letters without diacritics of the Latin ranges."""
     plain = {"áàâäãåā": "a", "çčć": "c", "éèêëē": "e", "íìîïī": "i", "ñń": "n", "óòôöõōø": "o", "úùûüū": "u", "ýÿ": "y", "šś": "s", "žźż": "z"}

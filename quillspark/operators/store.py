@@ -28,6 +28,11 @@ def first_of_each(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("__rn = 1").drop("__rn")
 
 
+def first_ids(df: DataFrame, content: Column, key: str = "id") -> DataFrame:
+    """(file_hash, key): the smallest key of each content; an aggregate with map-side combine, so copies never meet in one task."""
+    return df.groupBy(content.alias("file_hash")).agg(F.min(key).alias(key))
+
+
 def new_only(arrivals: DataFrame, known: DataFrame, key: str = "file_hash") -> DataFrame:
     return arrivals.join(known.select(key), key, "left_anti")
 

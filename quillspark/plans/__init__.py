@@ -1 +1,3 @@
-"""Query plans over whole tables."""
+"""Registered queries; importing the package registers all of them."""
+
+from quillspark.plans import catalogue, lifecycle  # noqa: F401

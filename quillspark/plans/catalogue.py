@@ -14,6 +14,8 @@ from pyspark.sql.window import Window as W
 
 from quillspark.functions import chunk, structure, text
 from quillspark.operators import operations, search, store
+from quillspark.sources import sinks
+from quillspark.streaming import rolling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -246,8 +248,7 @@ def validate_upload(t):
 
 @query("SELECT min(doc_id) AS doc_id, sha256(text) AS file_hash FROM documents GROUP BY sha256(text)")
 def dedup_exact(t):
-    # The smallest id of each hash is an aggregate with map-side combine; copies never meet in one task.
-    return t("documents").groupBy(sha(F.col("text")).alias("file_hash")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", "file_hash")
+    return store.first_ids(t("documents"), text.content_hash(F.col("text")), "doc_id").select("doc_id", "file_hash")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 2 = 1 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
@@ -279,7 +280,7 @@ def sort_page(t):
 
 @query("SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 20.0) AS BIGINT)) AS pages FROM documents")
 def total_pages(t):
-    return t("documents").agg(F.count(F.lit(1)).alias("total")).select("total", F.greatest(F.lit(1), F.ceil(F.col("total") / 20.0)).cast("long").alias("pages"))
+    return search.totals(t("documents"))
 
 
 @query(f"WITH {LIBRARY} SELECT count(*) AS total, count(*) FILTER (status = 'stored') AS stored, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status NOT IN ('stored', 'failed')) AS pending FROM lib")
@@ -289,7 +290,7 @@ def status_counts(t):
 
 @query(f"WITH {LIBRARY} SELECT id, filename, file_size, mime_type, file_hash, status, created_at, confidence_score FROM lib")
 def metadata_export(t):
-    return library(t("documents")).drop("extracted_text")
+    return sinks.metadata_only(library(t("documents")))
 
 
 @query("""WITH o AS (SELECT o_custkey AS k, o_orderkey AS v, o_totalprice AS p FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, o_orderkey, -o_totalprice FROM orders WHERE o_orderkey % 2 = 1)
@@ -308,7 +309,7 @@ def delete_cascade(t):
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def latest_per_key(t):
-    return t("events").groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("e")).select("user_id", "e.*")
+    return operations.latest(t("events").select("user_id", "event_id", "event_type", "ts"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
 @query("SELECT event_id, user_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS status_from, event_type AS status_to FROM events")
@@ -439,11 +440,6 @@ def json_repair_parse(t):
     return t("documents").select("doc_id", structure.parse_json(_answers()).alias("parsed"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def json_field(t):
-    return t("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
-
-
 # --- operations ---------------------------------------------------------------------------------------------------
 
 
@@ -485,13 +481,13 @@ def cache_stats(t):
 
 @query(f"WITH {_CACHE} SELECT entry_type, count(*) AS n FROM c GROUP BY entry_type")
 def cache_by_type(t):
-    return _cache(t).groupBy("entry_type").agg(F.count(F.lit(1)).alias("n"))
+    return operations.count_by(_cache(t), "entry_type")
 
 
 @query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r > 5")
 def retention_prune(t):
     order = [F.col("ts").desc(), F.col("event_id").desc()]
-    return t("events").withColumn("r", F.row_number().over(W.partitionBy("user_id").orderBy(*order))).filter("r > 5").select("event_id", "user_id")
+    return operations.beyond_newest(t("events").select("event_id", "user_id", "ts"), "user_id", 5, *order).select("event_id", "user_id")
 
 
 def _log(t) -> DataFrame:
@@ -511,8 +507,9 @@ def log_tail(t):
 
 @query("SELECT conv_id, count(*) AS n, sha256(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS history FROM conversations GROUP BY conv_id")
 def chat_messages(t):
-    rows = t("conversations").select("conv_id", "turn", F.concat("role", F.lit(":"), "text").alias("m"))
-    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), sha(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "m"))), lambda x: x["m"]), "\n")).alias("history"))
+    rows = operations.chat_history(t("conversations"))
+    said = F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"]))
+    return rows.select("conv_id", F.size("messages").cast("long").alias("n"), sha(F.array_join(said, "\n")).alias("history"))
 
 
 @query("SELECT conv_id, sha256(string_agg(text, ' ' ORDER BY turn)) AS transcript FROM conversations GROUP BY conv_id")
@@ -533,4 +530,5 @@ def cache_hit_ratio(t):
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def windowed_counts(t):
-    return t("events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    """An extension of ours: the streaming count, run over a table."""
+    return rolling.windowed_counts(t("events"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import chunk, structure, text
-from quillspark.operators import operations, search, store
+from quillspark.operators import operations, recovery, search, store
 from quillspark.sources import files, sinks
 from quillspark.streaming import rolling
 
@@ -187,7 +187,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sinks.zip_file(docs, f"{tmp_path}/x.zip", [f"{tmp_path}/in/b.pdf", "/none"]) == ["documents.json", "metadata.json", "documents.csv", "report.txt", "originals/b.pdf"]
     assert b"memo" in zipfile.ZipFile(f"{tmp_path}/x.zip").read("report.txt")
     sinks.write_json_lines(sinks.metadata_only(docs), f"file://{tmp_path}/log")
-    assert sinks.read_log(spark, f"file://{tmp_path}/log", "id string, status string").count() == 5
+    assert recovery.read_log(spark, f"file://{tmp_path}/log", "id string, status string, timestamp double").count() == 5
     assert [r.error for r in files.infer(spark.createDataFrame([(1, "t")], "doc_id long, text string"), None).collect()] == ["no model available"]
 
 
