@@ -80,4 +80,26 @@ ORACLES: dict[str, str] = {
           CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type,
           CASE WHEN page_id <> m THEN m END AS refers_to
         FROM d""",
+    # Windows as chat.format_windows makes them with its defaults: width 160, two turns of history within 96 tokens.
+    "op9_budgeted_windows": r"""
+        WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS body FROM conversations
+          UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+        t AS (SELECT conv_id, turn, role, body, coalesce(CAST(floor(turn / 256.0) AS BIGINT), -4611686018427387904) AS block,
+          length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\' || chr(10))) + length(replace(replace(body, '\', '\\'), '<|', '<\|')) + 24 AS chars,
+          CAST(ceil(strlen(body) * 0.55::DOUBLE) AS BIGINT) + 4 AS tokens FROM said),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, block ORDER BY turn NULLS FIRST, role, body) AS rn,
+          coalesce(sum(tokens) OVER (PARTITION BY conv_id, block ORDER BY turn NULLS FIRST, role, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 160 AS span,
+          first({'r': role, 'b': body}) OVER c AS head, first(chars) OVER c AS head_chars,
+          lag({'r': role, 'b': body, 'c': chars, 't': tokens, 'k': block}, 1) OVER c AS h1, lag({'r': role, 'b': body, 'c': chars, 't': tokens, 'k': block}, 2) OVER c AS h2
+          FROM t WINDOW c AS (PARTITION BY conv_id ORDER BY block, turn NULLS FIRST, role, body)),
+        f AS (SELECT conv_id, block, span, head, head_chars, rn, h1, CASE WHEN rn > 2 OR (rn = 1 AND h2.k = h1.k) THEN h2 END AS h2
+          FROM o QUALIFY row_number() OVER (PARTITION BY conv_id, block, span ORDER BY rn) = 1),
+        g AS (SELECT *, head.r = 'system' AS sys, h1 IS NOT NULL AND NOT (h1.r = 'system' AND head.r = 'system' AND h1.b = head.b) AS a, h2 IS NOT NULL AND NOT (h2.r = 'system' AND head.r = 'system' AND h2.b = head.b) AS b FROM f),
+        x AS (SELECT conv_id, CASE WHEN h1 IS NULL THEN 0 ELSE CASE WHEN sys THEN head_chars ELSE 0 END
+          + CASE WHEN a AND h1.t <= 96 THEN h1.c ELSE 0 END + CASE WHEN b AND (a IS FALSE OR h1.t <= 96) AND h2.t + CASE WHEN a THEN h1.t ELSE 0 END <= 96 THEN h2.c ELSE 0 END END AS context FROM g),
+        w AS (SELECT conv_id, sum(context) AS context, count(*) AS n_windows FROM x GROUP BY conv_id),
+        s AS (SELECT conv_id, count(*) AS n_turns, sum(chars) AS chars, string_agg(role || chr(10) || body || chr(10), '' ORDER BY turn NULLS FIRST, role, body) AS said,
+          coalesce(string_agg(body, '' ORDER BY turn NULLS FIRST, role, body) FILTER (role = 'assistant'), '') AS loss FROM t GROUP BY conv_id)
+        SELECT s.conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars + context AS BIGINT) AS formatted_chars, n_windows
+        FROM s JOIN w ON s.conv_id IS NOT DISTINCT FROM w.conv_id""",
 }

@@ -32,6 +32,9 @@ def rows():
         out += [(c, t, rnd.choice(["user", "assistant", "tool", "system"]), text()) for t in range(1, rnd.choice([1, 2, 9, 80]))]
     out += [(99, t, "user" if t % 2 else "assistant", text()) for t in range(700)]
     out += [(50, 1, None, None), (50, 1, "assistant", "tie"), (50, 1, "assistant", "tie"), (50, None, "a\nb<|\\", "x"), (None, 2, "user", "q"), (None, 1, "assistant", "a"), (51, 0, "assistant", "w " * 2000)]
+    # Many turns of one number, and without one; repeated rows among them; turns of other numbers beside.
+    out += [(60, None, rnd.choice(["user", "assistant"]), text()) for _ in range(400)] + [(60, 3, "assistant", "same")] * 300 + [(60, t, "user", text()) for t in (2, 3, 4, 300)]
+    out += [(61, 700, "assistant", text()) for _ in range(300)] + [(61, t, "assistant", text()) for t in (0, 699, 701)]
     return out
 
 
@@ -60,5 +63,31 @@ def test_windows_keep_budget_system_and_history(spark):
         assert len(w.loss_spans) == new.count("assistant\n")
 
 
+def test_blocks_are_bounded(spark):
+    df = spark.createDataFrame(rows(), "conv_id long, turn long, role string, text string").selectExpr("conv_id", "turn", "struct(role, text as body) as t")
+    found = {}
+    for r in chat.blocks(df).collect():
+        found.setdefault((r.conv_id, tuple(r.block)), []).append(r.turn)
+    assert max(map(len, found.values())) <= chat.BLOCK_TURNS and sum(map(len, found.values())) == len(rows())
+
+
+def test_tokens_from_a_column(spark):
+    data = [(1, t, "assistant", "word", 50) for t in range(20)]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string, n int")
+    assert chat.format_windows(df, tokens="n").count() > chat.format_windows(df).count()
+
+
+def test_estimate_is_an_upper_one(spark):
+    from tokenizers import Tokenizer
+
+    from quillspark.llm.queries import tokenizer_file
+
+    said = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").collect()]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        library = Tokenizer.from_file(tokenizer_file(name))
+        over = [t for t in said if len(library.encode(t, add_special_tokens=False).ids) > chat.TOKENS_A_BYTE * len(t.encode()) + chat.TURN_TOKENS]
+        assert not over
+
+
 def test_empty_table(spark):
     assert chat.written_report(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
