@@ -21,9 +21,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, where its files give fewer (a table of one row group is one task). Larger
+    tables have more tasks than cores and are read as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if 2 * df.rdd.getNumPartitions() > n else df.repartition(n)
+
+
 def query(oracle: str = "") -> Callable:
     def add(f: Callable[[Callable[[str], DataFrame]], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        def load(spark: SparkSession, sf_dir: str) -> Callable[..., DataFrame]:
+            return lambda name, spread=False: (spread_out if spread else lambda df: df)(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(load(spark, sf_dir))
         if oracle:
             ORACLES[f.__name__] = oracle
         return f
@@ -124,7 +134,7 @@ def text_punct(t):
 
 @query(f"SELECT doc_id, sha256({_clean(NOISY)}) AS cleaned FROM documents")
 def text_clean(t):
-    return t("documents").select("doc_id", sha(text.clean_text(noisy())).alias("cleaned"))
+    return t("documents", True).select("doc_id", sha(text.clean_text(noisy())).alias("cleaned"))
 
 
 @query("SELECT doc_id, sha256(nfc_normalize(replace(text, 'é', 'e' || chr(769)))) AS normal FROM documents")
@@ -139,7 +149,7 @@ def ocr_ligatures(t):
 
 @query(f"SELECT doc_id, sha256({_swaps(NOISY)}) AS fixed FROM documents")
 def ocr_swaps(t):
-    return t("documents").select("doc_id", sha(text.ocr_swaps(noisy())).alias("fixed"))
+    return t("documents", True).select("doc_id", sha(text.ocr_swaps(noisy())).alias("fixed"))
 
 
 @query("SELECT doc_id, sha256(replace(replace(text, 'the', 'teh'), 'te', 'to')) AS fixed FROM documents")
@@ -161,12 +171,12 @@ h AS (SELECT doc_id, lang, CAST(n AS BIGINT) AS word_count, CAST(length(text) AS
 
 @query(f"WITH {_FEATURES} SELECT * EXCLUDE (lang) FROM h")
 def features_all(t):
-    return text.with_features(t("documents").select("doc_id", "text"), name="f").select("doc_id", "f.*")
+    return text.with_features(t("documents", True).select("doc_id", "text"), name="f").select("doc_id", "f.*")
 
 
 @query(f"WITH {_FEATURES} SELECT lang, count(*) AS docs, CAST(sum(word_count) AS BIGINT) AS words, {_half_up('avg(avg_word_length)', 2)} AS mean_word_length FROM h GROUP BY lang")
 def features_by_lang(t):
-    rows = text.with_features(t("documents").select("lang", "text"), name="f")
+    rows = text.with_features(t("documents", True).select("lang", "text"), name="f")
     return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("f.word_count").alias("words"), text.half_up(F.avg("f.avg_word_length"), 2).alias("mean_word_length"))
 
 
@@ -175,7 +185,7 @@ d AS (SELECT lang, length(c) AS n, len(regexp_extract_all(c, '[A-Za-z0-9]+(?:[''
 SELECT lang, count(*) AS docs, CAST(sum(w) AS BIGINT) AS words, CAST(sum(n) AS BIGINT) AS chars FROM d GROUP BY lang""")
 def corpus_profile(t):
     """Flagship: clean, correct, measure, sum up by language; one shuffle of a few partial sums."""
-    c = t("documents").select("lang", text.correct_ocr(text.clean_text(noisy())).alias("c"))
+    c = t("documents", True).select("lang", text.correct_ocr(text.clean_text(noisy())).alias("c"))
     m = c.select("lang", F.length("c").alias("n"), F.size(text.words(F.col("c"))).alias("w"))
     return m.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("w").alias("words"), F.sum("n").alias("chars"))
 
@@ -195,7 +205,7 @@ SELECT doc_id, CAST(len(r.done) + 1 AS INT) AS n_chunks, sha256(array_to_string(
 
 
 def _chunked(t, method: str) -> DataFrame:
-    c = t("documents").select("doc_id", chunk.chunks(F.when(F.lit(method == "paragraph"), F.regexp_replace("text", r"\. ", "\n \n")).otherwise(F.col("text")), method=method).alias("c"))
+    c = t("documents", True).select("doc_id", chunk.chunks(F.when(F.lit(method == "paragraph"), F.regexp_replace("text", r"\. ", "\n \n")).otherwise(F.col("text")), method=method).alias("c"))
     return c.filter(F.size("c") > 0).select("doc_id", F.size("c").alias("n_chunks"), sha(F.array_join("c", "|")).alias("chunks"))
 
 
@@ -394,7 +404,7 @@ def _pairs(t) -> DataFrame:
     """Each document with one benchmark item; by turns in the order of item_id, so that every item has its documents."""
     turns = t("benchmark").select("item_id", (F.row_number().over(W.orderBy("item_id")) - 1).alias("turn"))
     n = t("benchmark").agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
-    docs = t("documents").select("doc_id", F.col("text").alias("d")).crossJoin(F.broadcast(n)).select("doc_id", "d", F.pmod("doc_id", "n").alias("turn"))
+    docs = t("documents", True).select("doc_id", F.col("text").alias("d")).crossJoin(F.broadcast(n)).select("doc_id", "d", F.pmod("doc_id", "n").alias("turn"))
     return docs.join(turns.select("item_id", "turn"), "turn").join(t("benchmark"), "item_id").drop("turn")
 
 
@@ -437,7 +447,7 @@ def json_close_truncated(t):
 
 @query("SELECT doc_id, '{\"gone\":null,\"lang\":\"' || lang || '\",\"n\":[1,2],\"name\":\"' || source || '\",\"ok\":true}' AS parsed FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id % 2 = 1")
 def json_repair_parse(t):
-    return t("documents").select("doc_id", structure.parse_json(_answers()).alias("parsed"))
+    return t("documents", True).select("doc_id", structure.parse_json(_answers()).alias("parsed"))
 
 
 # --- operations ---------------------------------------------------------------------------------------------------

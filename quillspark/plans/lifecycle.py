@@ -252,7 +252,7 @@ _PRE = _swaps(_ligatures(_clean(f"nfc_normalize({NOISY})")))
 @query(f"""SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN sha256('') ELSE sha256({_PRE}) END AS cleaned, CASE WHEN doc_id % 9 = 0 THEN '' ELSE '{_STEPS}' END AS steps,
 CASE WHEN doc_id % 9 = 0 THEN -1 ELSE CAST(length({_PRE}) AS BIGINT) END AS chars, CASE WHEN doc_id % 9 = 0 THEN 'Pipeline failed at ''unicode_normalization'': the text is null' ELSE '' END AS error FROM documents""")
 def preprocess_pipeline(t):
-    docs = t("documents").select("doc_id", F.when(F.col("doc_id") % 9 != 0, noisy()).alias("text"))
+    docs = t("documents", True).select("doc_id", F.when(F.col("doc_id") % 9 != 0, noisy()).alias("text"))
     r = F.col("result")
     return preprocess.process(docs).select("doc_id", sha(r["cleaned_text"]).alias("cleaned"), joined(r["steps_applied"]).alias("steps"), F.coalesce(r["features"]["char_count"], F.lit(-1)).alias("chars"), r["error"].alias("error"))
 
@@ -268,7 +268,7 @@ def preprocess_failure(t):
 def metadata_nested(t):
     i = F.col("doc_id").cast("string")
     raw = F.concat(F.lit('{"z": '), i, F.lit(', " Name ": " '), "source", F.lit(' ", "name": "later", "path": "", "gone": "", "no": null, "zero": 0, "false": false, "tags": [" a", null, "b "], "x": {"k": 1, "l": 1}, "X": {"k": 2, "m": '), i, F.lit("}}"))
-    return t("documents").select("doc_id", structure.clean_nested_metadata(raw).alias("cleaned"))
+    return t("documents", True).select("doc_id", structure.clean_nested_metadata(raw).alias("cleaned"))
 
 
 @query("""SELECT doc_id, '{"a": ' || doc_id || ', "b": {"c": "x,y:z", "d": [1, 2]}, "é": "' || lang || '"}' AS canonical, sha256('{"a": ' || doc_id || ', "b": {"c": "x,y:z", "d": [1, 2]}, "é": "' || lang || '"}') AS content_key FROM documents""")
@@ -296,12 +296,12 @@ _ANSWERS = {
 
 @query(f"SELECT doc_id, {picked(f'doc_id % {len(_ANSWERS)}', *[f for f, _ in _ANSWERS.values()])} AS flags FROM documents")
 def answer_format(t):
-    return t("documents").select("doc_id", joined(structure.response_format(pick(F.col("doc_id") % len(_ANSWERS), *_ANSWERS))).alias("flags"))
+    return t("documents", True).select("doc_id", joined(structure.response_format(pick(F.col("doc_id") % len(_ANSWERS), *_ANSWERS))).alias("flags"))
 
 
 @query(f"SELECT doc_id, {picked(f'doc_id % {len(_ANSWERS)}', *[r for _, r in _ANSWERS.values()])} AS repairs FROM documents")
 def repairs_needed(t):
-    return t("documents").select("doc_id", joined(structure.repairs_needed(pick(F.col("doc_id") % len(_ANSWERS), *_ANSWERS))).alias("repairs"))
+    return t("documents", True).select("doc_id", joined(structure.repairs_needed(pick(F.col("doc_id") % len(_ANSWERS), *_ANSWERS))).alias("repairs"))
 
 
 @query("""SELECT doc_id, 'null null "None1" true false ' || lang AS literals, '{"k": "it''s", "' || lang || '": "v"}' AS quotes, '{"name": 1, "b_2" : "x", "' || lang || '": 2}' AS bare, '{"a": {"b": ' || doc_id || '}}' AS first FROM documents""")
@@ -359,7 +359,7 @@ def extraction_scores(t):
         .when(k == 4, "{}")
         .when(k == 5, '{"a": "1", "b": 2, "c": "",}')
     )
-    docs = t("documents").filter(F.length("text") > 60).select("doc_id", "text", answer.alias("answer"), F.when(k == 0, "no answer").alias("failure"))
+    docs = t("documents", True).filter(F.length("text") > 60).select("doc_id", "text", answer.alias("answer"), F.when(k == 0, "no answer").alias("failure"))
     return extraction.guarded(docs, failure=F.col("failure")).select("doc_id", "structured_json", "confidence_score", "error_message")
 
 
@@ -533,7 +533,7 @@ def export_widths(t):
 '  Confidence:      ' || printf('%.2f', confidence_score), '  Processing time: 1.5s', CASE WHEN extracted_text <> '' THEN '  Text length:     ' || format('{{:,}}', length(extracted_text)) || ' chars' END, '  Schema type:     memo', CASE WHEN id % 2 = 0 THEN '  Error:           bad' END, '',
 CASE WHEN extracted_text <> '' THEN '  Preview (first 200 chars):' || chr(10) || '    ' || replace(substr(extracted_text, 1, 200), chr(10), ' ') END)) AS block FROM lib""")
 def report_blocks(t):
-    docs = library(t("documents")).withColumns({"updated_at": F.col("created_at"), "processing_time": F.lit(1.5), "structured_json": F.lit('{"document_type": "memo"}'), "error_message": F.when(F.col("id") % 2 == 0, "bad")})
+    docs = library(t("documents", True)).withColumns({"updated_at": F.col("created_at"), "processing_time": F.lit(1.5), "structured_json": F.lit('{"document_type": "memo"}'), "error_message": F.when(F.col("id") % 2 == 0, "bad")})
     return sinks.report_blocks(docs).select("id", sha(F.col("block")).alias("block"))
 
 
