@@ -8,7 +8,6 @@ import re
 import shutil
 import tempfile
 import uuid
-from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from contextvars import ContextVar
 
@@ -190,8 +189,3 @@ def ordered_buckets(df: DataFrame, key: str, size: Column, bucket_bytes: int = B
         return keys.__class__(np.where(keys.isna(), 0, np.searchsorted(cuts, keys.fillna(cuts[0]), side="left")).astype("int32"))
 
     return bucket(k), len(cuts) + 1
-
-
-def bucket_number(cuts: list, key) -> int:
-    """What ordered_buckets' column gives for one key."""
-    return 0 if key is None else bisect_left(cuts, key)

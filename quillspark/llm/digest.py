@@ -1,13 +1,16 @@
 """Improbable-feature digests (similarity digests of statistically rare byte windows).
 
-Every window of WINDOW bytes gets its Shannon entropy, exactly, from the counts of its bytes. Its rank says how usual that
-entropy is for running text (fixed table below); the lowest rank within REACH windows to either side, the leftmost of
-equals, selects a window as feature, so features follow content and not offsets. Windows of almost no entropy (runs of one
-byte) are never features. A 64-bit hash of each feature sets 5 bits in a Bloom filter of 2,048 bits; after 160 features the
+Every window of WINDOW bytes gets its Shannon entropy, exactly, from the counts of its bytes. Its rank is the lower the
+farther that entropy is from USUAL, which running text mostly has: an entropy is taken to be the less probable the farther
+off it is, in either direction. The rule is the same for all texts, prose or not (in base64 or code most windows are far
+off, and the farthest are chosen), so a text has one digest whatever corpus it is in. The lowest rank within REACH windows
+to either side, the leftmost of equals, selects a window as feature, so features follow content and not offsets. Windows
+of almost no entropy (runs of one byte) are never features. A 64-bit hash of each feature sets 5 bits in a Bloom filter of 2,048 bits; after 160 features the
 chain goes on with a new filter. Repeats of a feature within a text count once.
 
 Likeness of two digests: each filter of the shorter chain takes its best normalised overlap with the other's (common bits
 above those expected by chance, over the most possible), and these are averaged by features. Equal digests have likeness 1.
+Each filter meets each of the other text's: for two texts of 10 MB about 1,300 times 1,300 comparisons of 256 bytes.
 
 In a text of less than SHORT_TEXT bytes too few windows are selected to outlast an edit, so every SHORT bytes of it (but runs
 of one byte) are features besides: half of a text of 7 bytes or more that stays in the other is seen. Below that, and above
