@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.structure import let
+
 #: Sort names and their columns.
 SORT_FIELDS = {"created_at": "created_at", "updated_at": "updated_at", "filename": "filename", "status": "status", "confidence": "confidence_score", "size": "file_size"}
 #: Fixed value: a term of the index.
@@ -258,13 +260,32 @@ def needed(tree: tuple, have: list[Column]) -> Column | None:
 
 
 def snippet(text: Column, words: list[str], width: int = 32) -> Column:
-    """The `width` words around the first hit, hits marked with <b>; an approximation, not the best window."""
-    ws = F.split(text, r"\s+")
-    hit = lambda w: F.exists(terms(w), lambda t: t.isin(words))
-    flags = F.transform(ws, hit)
-    first = F.greatest(F.array_position(flags, F.lit(True)).cast("int") - width // 4, F.lit(1))
-    shown = F.transform(F.slice(ws, first, width), lambda w: F.when(hit(w), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w))
-    return F.concat(F.when(first > 1, "...").otherwise(""), F.array_join(shown, " "), F.when(F.size(ws) >= first + width, "...").otherwise(""))
+    """`width` words around the window with the most different hits, then the most hits, the earliest of equals; hits are
+    marked with <b> and lie in the window's middle. Words are what white space parts, so the cut is approximately that of
+    an index's own tokens."""
+    asked = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
+    which = lambda w: F.coalesce(F.array_max(F.transform(terms(w), lambda t: F.array_position(asked, t))), F.lit(0).cast("long"))
+
+    def window(hits: Column) -> Column:
+        """Where the best window begins, from 0; hits: array of struct(at, term) in order."""
+
+        def rated(hit: Column, k: Column) -> Column:
+            near = F.filter(F.slice(hits, k + 1, F.lit(width)), lambda x: x["at"] < hit["at"] + width)
+            return let(near, lambda n: F.struct((F.size(F.array_distinct(F.transform(n, lambda x: x["term"]))) * 1000 + F.size(n)).alias("score"), (-hit["at"]).alias("early"), F.element_at(n, -1)["at"].alias("last")))
+
+        return let(F.array_max(F.transform(hits, rated)), lambda best: -best["early"] - F.floor((width - (best["last"] + best["early"])) / 2).cast("int"))
+
+    def shown(ws: Column) -> Column:
+        hits = F.filter(F.transform(ws, lambda w, i: F.struct(i.alias("at"), which(w).alias("term"))), lambda x: x["term"] > 0)
+        start = F.greatest(F.least(F.coalesce(let(hits, window), F.lit(0)), F.size(ws) - width), F.lit(0))
+
+        def cut(at: Column) -> Column:
+            marked = F.transform(F.slice(ws, at + 1, F.lit(width)), lambda w: F.when(which(w) > 0, F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w))
+            return F.concat(F.when(at > 0, "...").otherwise(""), F.array_join(marked, " "), F.when(F.size(ws) > at + width, "...").otherwise(""))
+
+        return let(start, cut)
+
+    return let(F.split(text, r"\s+"), shown)
 
 
 def item(row: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.config import DEFAULTS
+from quillspark.operators import monitor
 
 
 def sampler(spark: SparkSession, seconds: int = 5) -> DataFrame:
@@ -16,6 +17,17 @@ def sampler(spark: SparkSession, seconds: int = 5) -> DataFrame:
     return spark.readStream.format("rate").option("rowsPerSecond", 1).load().filter(F.col("value") % seconds == 0)
 
 
+def metric_stream(spark: SparkSession, seconds: int = 5) -> DataFrame:
+    """A stream of metric snapshots, one every `seconds`, of the machine that takes the sample."""
+
+    def take(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                yield pd.DataFrame([monitor.sample()] * len(f))[["timestamp", *monitor.METRICS]].astype(float)
+
+    return sampler(spark, seconds).select("value").mapInPandas(take, monitor.SNAPSHOT)
+
+
 def rolling_means(events: DataFrame, key: str = "operation", value: str = "duration_ms", order: str = "timestamp", n: int = DEFAULTS.history_size) -> DataFrame:
     """For each key with new events: mean and count of its newest n. State is n values a key, however many events come."""
 

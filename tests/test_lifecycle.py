@@ -3,6 +3,7 @@
 import datetime
 import json
 import re
+import time
 
 import numpy as np
 import pytest
@@ -60,6 +61,16 @@ def test_rank_reads_postings_once_a_phrase(spark):
     assert got == {1, 2, 3}
 
 
+def test_snippets(spark):
+    filler = " ".join(f"w{i}" for i in range(100))
+    show = lambda text, words, width=8: one(spark, search.snippet(F.lit(text), words, width))
+    assert show("the quick fox", ["fox"]) == "the quick <b>fox</b>" and show("none here", ["fox"]) == "none here"
+    got = show(f"fox {filler} fox dog {filler} fox fox fox", ["fox", "dog"])
+    assert got.startswith("...") and got.endswith("...") and "<b>fox</b> <b>dog</b>" in got and len(got.replace("...", "").split()) == 8
+    assert show(f"{filler} Foxes Fox!", ["fox"]).endswith("Foxes <b>Fox!</b>")
+    assert show(f"fox {filler}", ["fox"]).startswith("<b>fox</b> w0") and show("", ["fox"]) == ""
+
+
 # --- store ------------------------------------------------------------------------------------------------------------
 
 
@@ -278,6 +289,19 @@ def test_monitor(spark):
     assert rolling.sampler(spark, 5).isStreaming
 
 
+def test_metric_stream(spark, tmp_path):
+    q = rolling.metric_stream(spark, 1).writeStream.format("memory").queryName("metrics").option("checkpointLocation", f"file://{tmp_path}/cp").start()
+    try:
+        for _ in range(60):
+            if spark.table("metrics").count():
+                break
+            time.sleep(0.5)
+        rows = spark.table("metrics").collect()
+    finally:
+        q.stop()
+    assert rows and all(0 <= r.ram_percent <= 100 and r.disk_total_gb > 0 for r in rows)
+
+
 # --- media and sinks ------------------------------------------------------------------------------------------------------
 
 
