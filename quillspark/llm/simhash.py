@@ -33,6 +33,8 @@ SEED = 42
 SEGMENTS, SEGMENT_BITS = 4, 16
 #: Members of one bucket that a task compares at once.
 BLOCK = 4096
+#: Ids of copies that a broadcast may hold, 32 MB with their rows' headers.
+BROADCAST_IDS = 1 << 21
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
     """The XXH64 values of the word shingles, repeats included; a text without words has that of the empty string.
@@ -195,9 +197,11 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle:
 def without_copies(docs: DataFrame, groups: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of docs but those that `groups` gives to another doc_id; docs may have columns of any names.
 
-    The ids that go are written first: where they are few the join broadcasts them, else it shuffles the rows of docs once,
-    whole texts included (about 1 x input).
+    The ids that go are written and counted first. Up to BROADCAST_IDS of them go to every task, so texts stay where they are;
+    more are joined by a shuffle, which moves whole texts once (about 1 x input).
     """
     gone = groups.filter("doc_id is not null and component_id is not null and doc_id <> component_id").select("doc_id").distinct()
     name = free_name("gone", docs.columns)
-    return docs.join(stored(gone, "gone").withColumnRenamed("doc_id", name), F.col(f"`{key}`").cast("long") == F.col(name), "left_anti")
+    gone = stored(gone.withColumnRenamed("doc_id", name), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col(f"`{key}`").cast("long") == F.col(name), "left_anti")

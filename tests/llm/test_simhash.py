@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quillspark.llm import simhash
 from quillspark.llm.components import connected_components
@@ -99,3 +100,11 @@ def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 500), (900, 901), (901, 900), (None, 3)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(201)} | {900: 900, 901: 900}
+
+
+@pytest.mark.parametrize("most", [0, 1 << 21])
+def test_rows_that_go_whether_broadcast_or_shuffled(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", most)
+    rows = [(3, "a b c d", 1), (3, "a b c d", 1), (5, "A b c d", 1), (None, "a b c d", 1), (7, None, 1), (9, "", 1), (11, "other words here", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone int")
+    assert sorted((r.doc_id or -1, r.text, r.gone) for r in simhash.keep_one(df).select("doc_id", F.coalesce("text", F.lit("-")).alias("text"), "gone").collect()) == [(-1, "a b c d", 1), (3, "a b c d", 1), (3, "a b c d", 1), (7, "-", 1), (11, "other words here", 1)]
