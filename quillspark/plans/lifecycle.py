@@ -6,6 +6,10 @@ tables don't hold.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -32,7 +36,8 @@ from quillspark.plans.catalogue import (
     query,
     sha,
 )
-from quillspark.sources import media, sinks
+from quillspark.sources import backup, files, media, sinks
+from quillspark.streaming import rolling
 
 
 def pick(n: Column, *values: str) -> Column:
@@ -537,19 +542,147 @@ def report_blocks(t):
     return sinks.report_blocks(docs).select("id", sha(F.col("block")).alias("block"))
 
 
+# --- what is written and read back --------------------------------------------------------------------------------------
+
+
+def written(df: DataFrame, name: str) -> tuple[SparkSession, str]:
+    return df.sparkSession, work_path(df.sparkSession, name)
+
+
+@query(f"WITH {LIBRARY} SELECT CAST(id AS VARCHAR) AS id, filename, CAST(confidence_score AS VARCHAR) AS confidence_score, sha256(coalesce(nullif(extracted_text, ''), '')) AS extracted_text FROM lib")
+def csv_sink(t):
+    spark, path = written(docs := library(t("documents")), "csv")
+    sinks.write_csv_folder(docs, path)
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return back.select("id", "filename", "confidence_score", sha(F.coalesce("extracted_text", F.lit(""))).alias("extracted_text"))
+
+
+@query(f"WITH {LIBRARY} SELECT id, filename, confidence_score, sha256(extracted_text) AS extracted_text FROM lib")
+def json_sink(t):
+    spark, path = written(docs := library(t("documents")), "json")
+    sinks.write_json_lines(docs, path)
+    back = spark.read.schema("id long, filename string, confidence_score double, extracted_text string").json(path)
+    return back.withColumn("extracted_text", sha(F.col("extracted_text")))
+
+
+@query("SELECT CAST(event_id AS DOUBLE) AS timestamp, event_type AS operation, event_type <> 'error' AS success FROM events WHERE event_id % 2 = 0 UNION ALL SELECT CAST(event_id AS DOUBLE), event_type, event_type <> 'error' FROM events WHERE event_id % 2 = 1")
+def recovery_log(t):
+    i = F.col("event_id")
+    spark, path = written(t("events"), "log")
+    entries = t("events").select(i.cast("double").alias("timestamp"), F.col("event_type").alias("operation"), (F.col("event_type") != "error").alias("success"), "event_id")
+    for part in (0, 1):
+        recovery.append_log(entries.filter(i % 2 == part).drop("event_id"), path)
+    return recovery.read_log(spark, path).select("timestamp", "operation", "success")
+
+
+@query(f"WITH {_STATES} SELECT document_id, stage, updated_at FROM n WHERE stage <> '-' AND CAST(document_id AS BIGINT) % 4 <> 0")
+def state_files(t):
+    spark, path = written(t("events"), "state")
+    states = _states(t)
+    recovery.save_state(spark, path, states.filter("stage is not null"))
+    recovery.delete_states(spark, path, recovery.current_states(states.withColumn("stage", F.coalesce("stage", F.lit("-")))).filter("stage = '-' or document_id % 4 = 0").select("document_id"), 1e12)
+    return recovery.load_states(spark, path).select("document_id", "stage", "updated_at")
+
+
+@query("SELECT o_orderkey AS id, o_totalprice AS price FROM orders")
+def backup_restore(t):
+    spark, path = written(t("orders"), "backup")
+    t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price")).write.parquet(f"{path}/table")
+    made = backup.create(spark, f"{path}/table", f"{path}/backups")
+    backup.replace(spark, spark.read.parquet(f"{path}/table").filter("id % 2 = 0"), f"{path}/table")
+    if not backup.restore(spark, made, f"{path}/table"):
+        raise RuntimeError("the backup isn't whole")
+    return spark.read.parquet(f"{path}/table")
+
+
+@query("SELECT 'even' AS part, o_orderkey AS id FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'odd', o_orderkey FROM orders WHERE o_orderkey % 2 = 1 AND o_orderstatus <> 'F'")
+def table_transaction(t):
+    spark, path = written(t("orders"), "tables")
+    rows = t("orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus")
+    rows.write.parquet(f"{path}/even")
+    rows.write.parquet(f"{path}/odd")
+    store.transaction(spark, {f"{path}/even": spark.read.parquet(f"{path}/even").filter("id % 2 = 0"), f"{path}/odd": spark.read.parquet(f"{path}/odd").filter("id % 2 = 1 and o_orderstatus <> 'F'")})
+    return spark.read.parquet(f"{path}/even").select(F.lit("even").alias("part"), "id").unionAll(spark.read.parquet(f"{path}/odd").select(F.lit("odd").alias("part"), "id"))
+
+
+@query(f"""WITH {_INGEST} SELECT CASE WHEN ok AND known.id IS NULL AND f.own = batch.own THEN f.own END AS doc_id, category, '2024-05-06' AS day, file_hash AS content_hash FROM f LEFT JOIN known USING (file_hash) JOIN batch USING (file_hash) WHERE ok AND known.id IS NULL AND f.own = batch.own""")
+def stored_files(t):
+    spark, path = written(t("documents"), "uploads")
+    docs = library(t("documents")).join(t("documents").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("content")), "id")
+    known = docs.filter("id % 4 = 0").select(F.col("id").cast("string").alias("id"), "filename", "file_hash")
+    files = docs.filter("id % 4 <> 0").select("filename", "file_size", "content")
+    results = ingest.ingest(files, known, F.lit("2024-05-06").cast("date"), most=20_000_000)
+    ingest.write_files(files, results, path)
+    return spark.read.parquet(path).select("doc_id", "category", F.col("day").cast("string").alias("day"), F.sha2("content", 256).alias("content_hash"))
+
+
+@query("""SELECT filename AS path, category, CASE WHEN category = 'text' THEN sha256(upper(lang)) ELSE sha256('') END AS text, CASE WHEN category = 'text' THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END AS confidence, CASE category WHEN 'text' THEN NULL WHEN 'pdf' THEN 'ValueError: broken' ELSE 'no extractor for ' || category END AS error
+FROM (SELECT doc_id || ['.pdf', '.txt', '.png', '.csv', '.exe'][doc_id % 5 + 1] AS filename, ['pdf', 'text', 'image', 'data', 'unknown'][doc_id % 5 + 1] AS category, lang FROM documents)""")
+def extractor_results(t):
+    def broken(content):
+        raise ValueError("broken")
+
+    rows = t("documents").select(F.concat(F.col("doc_id").cast("string"), pick(F.col("doc_id") % 5, ".pdf", ".txt", ".png", ".csv", ".exe")).alias("path"), F.encode("lang", "UTF-8").alias("content"))
+    return files.extract(rows, {"text": lambda b: (b.decode().upper(), 0.9), "pdf": broken}).withColumn("text", sha(F.col("text")))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN NULL ELSE upper(lang) END AS answer, CASE WHEN doc_id % 3 = 0 THEN 'HttpError: HTTP 404' WHEN doc_id % 3 = 1 THEN 'the model gave an empty answer' END AS error FROM documents")
+def model_answers(t):
+    def model(prompt):
+        if prompt == "fail":
+            raise recovery.HttpError(404)
+        return prompt.upper()
+
+    prompts = t("documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "fail").when(F.col("doc_id") % 3 == 1, "").otherwise(F.col("lang")).alias("text"))
+    return files.infer(prompts, model)
+
+
+@query(f"SELECT event_type AS operation, {_half_up('avg(value)', 2)} AS avg_ms, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY epoch(ts) DESC, value DESC) AS r FROM events) WHERE r <= 40 GROUP BY event_type")
+def streaming_means(t):
+    """The stream over a folder of events, run to its end; of the updates the last of each operation is its state."""
+    spark, path = written(t("events"), "stream")
+    rows = t("events").select(F.col("event_type").alias("operation"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("timestamp"), F.col("value").alias("duration_ms"))
+    rows.repartition(3).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    means = rolling.rolling_means(stream, n=40)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}/out")
+
+    means.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    last = operations.latest(spark.read.schema("operation string, avg_ms double, n long, batch long").parquet(f"{path}/out"), "operation", ["batch"])
+    return last.select("operation", text.half_up(F.col("avg_ms"), 2).alias("avg_ms"), "n")
+
+
+@query(f"WITH {LIBRARY} SELECT id, filename, file_size, mime_type, file_hash, status, created_at, confidence_score, sha256(extracted_text) AS extracted_text FROM lib")
+def export_projection(t):
+    docs = library(t("documents")).withColumn("internal", F.lit(1))
+    return sinks.projection(docs).withColumn("extracted_text", sha(F.col("extracted_text")))
+
+
 # --- stored index -----------------------------------------------------------------------------------------------------
 
 _STORED: dict[tuple[str, str], str] = {}
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; where that is unset, and on a local master alone, one of our own."""
+    """A new path in the folder of spark.checkpoint.dir; where that is unset, and on a local master alone, one of our own. What
+    is written there goes when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir isn't set")
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise RuntimeError("spark.checkpoint.dir isn't set, and all machines need a shared folder")
         base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-    return f"{base}/quillspark-{name}-{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, base.removeprefix("file://"), True)
+    path = f"{base}/quillspark-{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have been stopped
+        if spark.sparkContext._jsc is not None:
+            backup.remove(spark, path)
 
 
 def stored_index(spark: SparkSession, sf_dir: str) -> str:

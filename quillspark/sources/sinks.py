@@ -23,12 +23,17 @@ def metadata_only(docs: DataFrame) -> DataFrame:
     return docs.drop("extracted_text", "structured_json")
 
 
+def projection(docs: DataFrame, with_text: bool = True) -> DataFrame:
+    """The columns of an export that docs has, in their order; without the wide ones if with_text is false."""
+    return docs.select(*[c for c in (COLUMNS if with_text else METADATA) if c in docs.columns])
+
+
 def write_json_lines(docs: DataFrame, path: str, mode: str = "error") -> None:
     docs.write.mode(mode).json(path)
 
 
 def write_csv_folder(docs: DataFrame, path: str) -> None:
-    docs.select(*[c for c in COLUMNS if c in docs.columns]).write.option("header", True).option("escape", '"').csv(path)
+    projection(docs).write.option("header", True).option("escape", '"').csv(path)
 
 
 def _rows(docs: DataFrame) -> Iterator[Row]:
