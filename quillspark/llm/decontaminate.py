@@ -45,6 +45,10 @@ MATCH, OTHER = 2, 1
 WORD_BITS = 31
 
 words = re.compile(r"\w+").findall
+#: A character beyond ASCII that is in no word.
+other_mark = re.compile(r"[^\w\x00-\x7f]").search
+#: Bytes to bytes: ASCII that is in no word to a space.
+WORD_BYTES = bytes(b if b > 127 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
 
 
 def pairs_needed(n: int) -> int:
@@ -59,6 +63,7 @@ class Items:
         self.ids = [i for i, _ in rows]
         self.vocab: dict[str, int] = {}
         self.words = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(t.lower())], np.int64) for _, t in rows]
+        self.raw = {w.encode("utf-8", "surrogatepass"): i for w, i in self.vocab.items()}
         keys = [np.unique(w[:-1] << WORD_BITS | w[1:]) if len(w) >= LEAST_WORDS else np.zeros(0, np.int64) for w in self.words]
         flat = np.concatenate([np.zeros(0, np.int64), *keys])
         self.pairs, of = np.unique(flat, return_inverse=True)
@@ -71,8 +76,14 @@ class Items:
         self.choose_seeds(np.zeros(len(self.pairs), np.int64))
 
     def encode(self, text: str) -> np.ndarray:
-        found = words(text.lower())
-        return np.fromiter(map(self.vocab.get, found, repeat(0)), np.int64, len(found))
+        """Numbers of the text's words, 0 for words that no item has."""
+        low = text.lower()
+        if not low.isascii() and other_mark(low):
+            found = words(low)
+            return np.fromiter(map(self.vocab.get, found, repeat(0)), np.int64, len(found))
+        # Of other characters than ASCII there are word characters alone, so bytes can be split, which is faster.
+        raw = low.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
+        return np.fromiter(map(self.raw.get, raw, repeat(0)), np.int64, len(raw))
 
     def hits(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and numbers of the items' pairs in a document; places may repeat."""

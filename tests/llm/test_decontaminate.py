@@ -120,3 +120,12 @@ def test_recall_of_edited_copies(spark):
     due = {p: recall(bench, p) for p in PATTERNS}
     assert all(n == found for n, found in due.values()), due
     assert all(due[p][0] == len(bench) for p in [("replace", 3), ("replace", 4), ("replace", 0.15)])
+
+
+def test_words_by_bytes_are_the_words():
+    rnd = random.Random(7)
+    some = "aZ_0é ßİıſ²½ªµ—’«\u00a0\u0307\u2028\t\n.,日本ǅ\x1c\x85"
+    for k in range(3000):
+        t = "".join(rnd.choice(some if k % 3 else some[:9]) if rnd.random() < 0.9 else chr(rnd.randrange(1, 0xD000)) for _ in range(rnd.randrange(40)))
+        items = d.Items([(1, t)])
+        assert items.encode(t).tolist() == [items.vocab[w] for w in d.words(t.lower())] == items.words[0].tolist(), t
