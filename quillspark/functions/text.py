@@ -93,6 +93,10 @@ def half_up(c: Column, digits: int) -> Column:
     return F.floor(c * scale + 0.5).cast("double") / scale
 
 
+#: The measures of features() and their types.
+FEATURES = "struct<word_count:bigint,char_count:bigint,char_count_no_spaces:bigint,sentence_count:bigint,avg_word_length:double,reading_time_seconds:double,vocabulary_count:bigint,vocabulary_richness:double,max_word_length:bigint,avg_sentence_length:double>"
+
+
 def features(c: Column, listed: Column | None = None) -> Column:
     """Ten measures of a text as a struct; all are 0 for an empty text.
 

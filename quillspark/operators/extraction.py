@@ -170,8 +170,7 @@ def guarded(rows: DataFrame, raw: str = "answer", original: str = "text", availa
 def extract_with_model(docs: DataFrame, model: Callable[[str], str] | None, prompt: Callable[[Column], Column] | None = None, schema: str = "custom", text_column: str = "text", key: str = "doc_id", **retry) -> DataFrame:
     """doc_id, answer, structured_json, confidence_score, error_message: the model's answer to each text's prompt, guarded."""
     body = text.truncate_for_model(F.col(text_column))
-    asked = docs.select(F.col(key).cast("long").alias("doc_id"), (prompt(body) if prompt else body).alias("text"))
-    told = files.infer(asked, model, **retry)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text_column).alias("text")).join(told, "doc_id")
+    asked = docs.select(F.col(key).cast("long").alias("doc_id"), (prompt(body) if prompt else body).alias("prompt"), F.col(text_column).alias("text"))
+    rows = files.infer(asked, model, "prompt", "doc_id", "text", **retry)
     out = guarded(rows, "answer", "text", F.lit(model is not None), F.when(F.lit(model is not None), F.col("error")), schema)
     return out.select("doc_id", "answer", "structured_json", "confidence_score", "error_message")

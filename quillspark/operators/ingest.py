@@ -50,10 +50,10 @@ def ingest(files: DataFrame, known: DataFrame, day: Column | None = None, check_
     rows = rows.withColumn("own", own)
     if check_duplicates:
         # The first of each content is an aggregate with map-side combine; copies never meet in one task.
-        first = rows.filter(valid).groupBy("file_hash").agg(F.min(F.struct("filename", "own")).alias("first"))
+        first = rows.groupBy("file_hash").agg(F.min(F.when(valid, F.struct("filename", "own"))).alias("first"), F.count(F.lit(1)).alias("n"))
         there = known.groupBy("file_hash").agg(F.min(F.struct("id", "filename")).alias("there"))
         about = first.join(there, "file_hash", "left")
-        rows = rows.join(about, "file_hash", "left")
+        rows = store.with_facts(rows, about, "file_hash", "n", "own")
     else:
         rows = rows.withColumns({"first": F.struct("filename", "own"), "there": F.lit(None).cast("struct<id:string,filename:string>")})
     of = F.when(F.col("there").isNotNull(), F.col("there")).when(F.col("first.own") != F.col("own"), F.struct(F.col("first.own").alias("id"), F.col("first.filename").alias("filename")))

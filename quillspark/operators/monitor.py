@@ -9,7 +9,6 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from quillspark.config import DEFAULTS
 from quillspark.functions.text import half_up

@@ -24,7 +24,7 @@ def process(docs: DataFrame, column: str = "text", metadata: str | None = None,
     """
     made = {**TEXT_STEPS, "ocr_correction": lambda c: text.correct_ocr(c, corrections)}
     c, done = F.col(column), []
-    chunks, features = F.array().cast("array<string>"), F.lit(None)
+    chunks, features = F.array().cast("array<string>"), F.lit(None).cast(text.FEATURES)
     cleaned, error = F.create_map().cast("map<string,string>"), F.lit("")
     rows, failed = docs, None
     for step in steps:

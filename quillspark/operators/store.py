@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from quillspark.config import DEFAULTS
 from quillspark.functions.text import extension, file_kind
@@ -23,11 +22,6 @@ def validate_upload(name: Column, size: Column, most: int = DEFAULTS.max_upload_
     return F.struct(reason.isNull().alias("valid"), reason.alias("reason"), ext.alias("extension"), category.alias("category"), file_kind(ext, 1).alias("mime_type"))
 
 
-def first_of_each(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key in the given order. Keep the order unique for a stable result."""
-    return df.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("__rn = 1").drop("__rn")
-
-
 def first_ids(df: DataFrame, content: Column, key: str = "id") -> DataFrame:
     """(file_hash, key): the smallest key of each content; an aggregate with map-side combine, so copies never meet in one task."""
     return df.groupBy(content.alias("file_hash")).agg(F.min(key).alias(key))
@@ -38,9 +32,14 @@ def new_only(arrivals: DataFrame, known: DataFrame, key: str = "file_hash") -> D
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Changes win over rows of equal key if their version is as high."""
+    """Changes win over rows of equal key if their version is as high; of changes with one key and version the largest row.
+
+    An aggregate with map-side combine, so the rows of a hot key never meet in one task.
+    """
+    rest = [c for c in table.columns if c not in keys]
     both = table.withColumn("__new", F.lit(0)).unionByName(changes.withColumn("__new", F.lit(1)))
-    return first_of_each(both, keys, F.col(version).desc(), F.col("__new").desc()).drop("__new")
+    latest = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(version, "__new", *rest)).alias("__row"))
+    return latest.select(*keys, "__row.*").select(*table.columns)
 
 
 def lookup(table: DataFrame, key: str, value) -> DataFrame:
@@ -130,6 +129,26 @@ def known_status(status: Column) -> Column:
     return F.when(status.isin(STATUSES), status).otherwise("failed")
 
 
+#: Rows of one key from which on the key's facts are broadcast and its rows aren't shuffled.
+HOT_ROWS = 1_000_000
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, spread: str) -> DataFrame:
+    """rows left-joined to facts (one row a key, with the number of rows that have it in `count`).
+
+    Keys of more than HOT_ROWS rows are at most one for each HOT_ROWS rows: their facts are broadcast, and in the shuffled join
+    of the others their rows go wherever a hash of `spread` says, so no task gets a hot key's rows.
+    """
+    names = [c for c in facts.columns if c not in (key, count)]
+    hot = facts.filter(F.col(count) > HOT_ROWS).select(F.col(key).alias("__hot"), F.struct(*names).alias("__of_hot"))
+    cold = facts.filter(F.col(count) <= HOT_ROWS).select(F.col(key).cast("string").alias("__cold"), F.struct(*names).alias("__of_cold"))
+    told = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    told = told.withColumn("__at", F.when(F.col("__hot").isNull(), F.col(key).cast("string")).otherwise(F.concat(F.lit("\0"), F.sha2(F.col(spread).cast("string"), 256))))
+    told = told.join(cold, F.col("__at") == F.col("__cold"), "left")
+    of = F.coalesce("__of_hot", "__of_cold")
+    return told.select(*rows.columns, *[of[n].alias(n) for n in names])
+
+
 def with_chunk_counts(docs: DataFrame, chunks: DataFrame, key: str = "id", foreign: str = "document_id") -> DataFrame:
     counts = chunks.groupBy(F.col(foreign).alias(key)).agg(F.count(F.lit(1)).alias("chunks_count"))
     return docs.join(counts, key, "left").fillna(0, ["chunks_count"])

@@ -56,23 +56,25 @@ def extract(files: DataFrame, extractors: dict[str, Extractor]) -> DataFrame:
     return rows.mapInPandas(run, RESULT)
 
 
-def infer(docs: DataFrame, model: Callable[[str], str] | None, text: str = "text", key: str = "doc_id", **retry) -> DataFrame:
+def infer(docs: DataFrame, model: Callable[[str], str] | None, text: str = "text", key: str = "doc_id", carry: str | None = None, **retry) -> DataFrame:
     """doc_id, answer, error: a model's answer to each text, tried again as recovery.retried does (attempts, base, factor, cap,
-    sleep); an empty answer is an error. Without a model a record that says so. The model is built once for each batch of
-    tasks that a Python worker runs: pass an object that connects when it is first called."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
+    sleep); an empty answer is an error. Without a model a record that says so. carry: a string column that goes along, so
+    that answers needn't be joined to their rows again. Pass a model that connects when it is first called."""
+    also = [F.col(carry).cast("string").alias(carry)] if carry else []
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("__prompt"), *also)
     if model is None:
-        return rows.select("doc_id", F.lit(None).cast("string").alias("answer"), F.lit("no model available").alias("error"))
+        return rows.drop("__prompt").withColumns({"answer": F.lit(None).cast("string"), "error": F.lit("no model available")})
+    names = ["doc_id", *([carry] if carry else []), "answer", "error"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for i, t in frame.itertuples(index=False):
+            for i, t, *rest in frame.itertuples(index=False):
                 try:
                     answer = retried(model, t, **retry)
-                    out.append((i, answer or None, None if answer else "the model gave an empty answer"))
+                    out.append((i, *rest, answer or None, None if answer else "the model gave an empty answer"))
                 except Exception as e:  # a failed call is a failed record
-                    out.append((i, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["doc_id", "answer", "error"])
+                    out.append((i, *rest, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=names)
 
-    return rows.mapInPandas(run, "doc_id long, answer string, error string")
+    return rows.mapInPandas(run, ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))

@@ -138,6 +138,17 @@ def test_files_on_disk(spark, tmp_path):
     assert spark.table("seen").count() == 6
 
 
+def test_hot_contents_are_told_alike(spark, monkeypatch):
+    rows = [(f"f{i}.txt", 5, f"h{0 if i < 40 else i % 7}") for i in range(90)] + [("x.exe", 5, "h0"), ("null.txt", 5, None)]
+    batch = spark.createDataFrame(rows, "filename string, file_size long, file_hash string")
+    known = spark.createDataFrame([("doc_a", "old.txt", "h3")], "id string, filename string, file_hash string")
+    plain = sorted(map(repr, ingest.ingest(batch, known).collect()))
+    monkeypatch.setattr(store, "HOT_ROWS", 20)
+    assert sorted(map(repr, ingest.ingest(batch, known).collect())) == plain
+    plan = ingest.ingest(batch, known)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+
+
 def test_document_ids(spark):
     assert re.fullmatch(r"doc_\d{13}_[0-9a-f]{8}", one(spark, text.document_id()))
 
