@@ -7,7 +7,11 @@ pre-tokens of more than LONG_WORD bytes, for which repeated scans would be quadr
 merges. Words are remembered per Python process in two generations that are bounded in words and in bytes, so memory
 doesn't grow with the corpus.
 
-Null and empty texts give no ids. Added special tokens inside a text are single ids, as in the tokenizers library.
+Words are cut where the tokenizer file's own pre-tokenizer cuts them: a code point that the regex package puts into another
+class stands as a character of the library's class while a text is split.
+
+Null and empty texts give no ids. Added special tokens inside a text are single ids, as in the tokenizers library. Texts of any
+length are encoded whole; Arrow batches are bounded in bytes, so that only a text that is itself longer makes a larger one.
 Rows are independent: repeated rows and extra columns change nothing, an empty table gives an empty result.
 """
 
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import batch_of, small_batches, text_or_empty
+from quillspark.llm.common import batch_of, bounded_batches, text_or_empty
 
 #: Fixed value: the public split pattern of byte-level BPE, whose branches are tried in this order.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -64,6 +68,55 @@ def narrow_split():
     return re.compile(rf" ?[{letters}]+|'(?:[stmd]|re|ve|ll)| ?[{digits}]+| ?[^{SPACE}{letters}{digits}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
 
 
+def classes_of(begins) -> list[tuple[int, int, str]]:
+    """Ranges (first, last, L, N, S or O) of all code points as a pre-tokenizer of pattern SPLIT tells letters, numbers, white
+    space and other characters apart. begins(text): how many pieces it cuts a text into. Ranges are halved until they are of one class."""
+    out: list[tuple[int, int, str]] = []
+
+    def go(low: int, high: int) -> None:
+        block = "".join(chr(c) for c in range(low, high) if not 0xD800 <= c < 0xE000)
+        if not block:
+            return
+        kind = next((k for k, first in (("O", "!"), ("L", "a"), ("N", "1")) if begins(first + block) == 1), "S" if high - low == 1 else None)
+        if kind is None:
+            go(low, (low + high) // 2)
+            go((low + high) // 2, high)
+        elif out and out[-1][1] == low - 1 and out[-1][2] == kind:
+            out[-1] = (out[-1][0], high - 1, kind)
+        else:
+            out.append((low, high - 1, kind))
+
+    for low in range(0, 0x110000, 4096):
+        go(low, low + 4096)
+    return out
+
+
+@lru_cache(4)
+def odd_characters(path: str) -> tuple[tuple[int, int, str], ...]:
+    """Ranges (first, last, class) of the code points that the regex package puts into another class than the tokenizer
+    file's own pre-tokenizer does in the tokenizers library; they follow different versions of Unicode."""
+    import regex
+    from tokenizers import Tokenizer
+
+    cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    split = regex.compile(SPLIT).findall
+    ours = [k for first, last, k in classes_of(lambda t: len(split(t))) for _ in range(first, last + 1) if first < 0xD800 or first >= 0xE000]
+    theirs = [k for first, last, k in classes_of(lambda t: len(cut(t))) for _ in range(first, last + 1) if first < 0xD800 or first >= 0xE000]
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    out: list[tuple[int, int, str]] = []
+    for c, mine, kind in zip(points, ours, theirs, strict=True):
+        if mine != kind:
+            if out and out[-1][1] == c - 1 and out[-1][2] == kind:
+                out[-1] = (out[-1][0], c, kind)
+            else:
+                out.append((c, c, kind))
+    return tuple(out)
+
+
+#: A character of each class in the split pattern that is in no contraction.
+STAND_IN = {"L": "a", "N": "1", "S": "\u3000", "O": "!"}
+
+
 class WordCache(dict):
     """Two generations of word -> value: when the young one is full it becomes the old one, which is dropped."""
 
@@ -89,7 +142,7 @@ class WordCache(dict):
 class ByteBPE:
     """Encoder and decoder for a tokenizer file of kind BPE with a byte-level pre-tokenizer and decoder."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, odd: tuple[tuple[int, int, str], ...] | None = None):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -109,13 +162,20 @@ class ByteBPE:
             self.pieces[i] = bytes(to_byte[c] for c in token)
         for token, i in self.added.items():
             self.pieces[i] = token.encode()
-        self.split_any, self.split_narrow = regex.compile(SPLIT).findall, narrow_split()
+        pattern = regex.compile(SPLIT)
+        self.split_any, self.spans, self.split_narrow = pattern.findall, pattern.finditer, narrow_split()
+        self.stand_in = {c: STAND_IN[k] for first, last, k in (odd_characters(path) if odd is None else odd) for c in range(first, last + 1)}
+        self.odd = frozenset(map(chr, self.stand_in))
         self.wide = re.compile(rf"[^\x00-{chr(NARROW)}]").search
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.cache = WordCache(lambda word: pack(f"<{len(ids := self.encode_word(word.encode()))}I", *ids))
 
     def split(self, text: str) -> list[str]:
-        return self.split_any(text) if self.wide(text) else self.split_narrow(text)
+        if not self.wide(text):
+            return self.split_narrow(text)
+        if self.odd.isdisjoint(text):
+            return self.split_any(text)
+        return [text[m.start() : m.end()] for m in self.spans(text.translate(self.stand_in))]
 
     def encode_word(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -169,7 +229,7 @@ class ByteBPE:
     def encode_bytes(self, text: str) -> bytes:
         """All ids of a text as little-endian unsigned 32-bit integers."""
         if not self.special or not (hits := list(self.special.finditer(text))):
-            return b"".join(map(self.cache.__getitem__, self.split(text)))
+            return self.encode_plain_bytes(text)
         out, at = [], 0
         for hit in hits:
             out += map(self.cache.__getitem__, self.split(text[at : hit.start()]))
@@ -178,6 +238,10 @@ class ByteBPE:
         out += map(self.cache.__getitem__, self.split(text[at:]))
         return b"".join(out)
 
+    def encode_plain_bytes(self, text: str) -> bytes:
+        """As encode_bytes, but the strings of added tokens are ordinary text."""
+        return b"".join(map(self.cache.__getitem__, self.split(text)))
+
     def encode(self, text: str) -> list[int]:
         return memoryview(self.encode_bytes(text)).cast("I").tolist()
 
@@ -191,8 +255,8 @@ class ByteBPE:
 
 
 @lru_cache(2)
-def tokenizer(path: str) -> ByteBPE:
-    return ByteBPE(path)
+def tokenizer(path: str, odd: tuple[tuple[int, int, str], ...] | None = None) -> ByteBPE:
+    return ByteBPE(path, odd)
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -200,11 +264,12 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256"
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id and `ids`, the ids of each whole text as an array of int. The file must lie at the same path on every machine."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
+    odd = odd_characters(tokenizer_path)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(tokenizer_path)
+        bpe = tokenizer(tokenizer_path, odd)
         for b in batches:
             yield batch_of(schema, [b.column(0), [bpe.encode(t) for t in b.column(1).to_pylist()]])
 
@@ -213,11 +278,12 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", k
 
 def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id and `text` from what encode_documents gives."""
-    small_batches(encoded.sparkSession)
+    bounded_batches(encoded.sparkSession)
+    odd = odd_characters(tokenizer_path)
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(tokenizer_path)
+        bpe = tokenizer(tokenizer_path, odd)
         for b in batches:
             yield batch_of(schema, [b.column(0), [bpe.decode(x or []) for x in b.column(1).to_pylist()]])
 
@@ -226,10 +292,11 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
 
 def round_trip_digests(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the text that decoding those ids gives. No shuffle."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
+    odd = odd_characters(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, sha = tokenizer(tokenizer_path), hashlib.sha256
+        bpe, sha = tokenizer(tokenizer_path, odd), hashlib.sha256
         for b in batches:
             n, ids_sha, text_sha = [], [], []
             for t in b.column(1).to_pylist():

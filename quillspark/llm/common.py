@@ -28,6 +28,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, ARROW_ROWS)
 
 
+#: Bytes of one Arrow batch where that is bounded.
+ARROW_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """As small_batches, and batches end at about ARROW_BYTES too, however few rows that are (a longer row is alone)."""
+    small_batches(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    digits = re.match(r"(\d+)b?$", spark.conf.get(key, "64m"))
+    if not digits or not 0 < int(digits[1]) <= ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Where it is unset, a folder of our own, but only on a local master:
     on a cluster each machine would write to its own disk, so there that is an error."""

@@ -85,3 +85,48 @@ def test_narrow_split_is_the_public_one():
     for k in range(4000):
         t = "".join(rnd.choice(some) if k % 2 else chr(rnd.randrange(0x250)) for _ in range(rnd.randrange(30)))
         assert own.split_narrow(t) == public(t), t
+
+
+def test_every_code_point_is_split_as_the_library_does(both):
+    own, library = both
+    cut = library.pre_tokenizer.pre_tokenize_str
+    assert own.odd  # the two follow different versions of Unicode
+    points = [c for c in range(0x250, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x32000 or chr(c) in own.odd or c % 997 == 0)]
+    for at in range(0, len(points), 64):
+        for form in ("a{0}b1{0}2 {0}!{0} ", "'{0}' {0}\n{0}{0} s'{0}ll"):
+            text = "".join(form.format(chr(c)) for c in points[at : at + 64])
+            assert own.split(text) == [text[b:e] for _, (b, e) in cut(text)], hex(points[at])
+
+
+def test_ids_with_letters_that_only_one_side_knows(both):
+    own, library = both
+    rnd = random.Random(11)
+    odd = sorted(own.odd)
+    pool = [*"ab 1!'\n", "龩", "\U00018f1a", "’", " the", "　"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(odd) if rnd.random() < 0.3 else rnd.choice(pool) for _ in range(rnd.randrange(1, 12)))
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert own.encode("a\U00018f1a鞩") == library.encode("a\U00018f1a鞩", add_special_tokens=False).ids
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 200_000).alias("text"))
+    bpe.bounded_batches(spark)
+    sizes = df.mapInArrow(lambda bs: (type(b).from_pydict({"n": [b.nbytes]}) for b in bs), "n long").collect()
+    assert len(sizes) > 3 and max(r.n for r in sizes) <= bpe_bytes() + 2_000_000
+
+
+def bpe_bytes():
+    from quillspark.llm.common import ARROW_BYTES
+
+    return ARROW_BYTES
+
+
+def test_decoder_on_an_odd_table(spark):
+    df = spark.createDataFrame([(1, [64, 275], "x"), (1, [64, 275], "y"), (None, None, "z"), (2, [], "z")], "doc_id long, ids array<int>, text string")
+    one = bpe.decode_documents(df.limit(1), PATH).first().text
+    rows = bpe.decode_documents(df, PATH).collect()
+    assert len(rows) == 4 and {r.text for r in rows if r.doc_id in (None, 2)} == {""} and {r.text for r in rows if r.doc_id == 1} == {one}
+    assert bpe.decode_documents(df.limit(0), PATH).count() == 0
