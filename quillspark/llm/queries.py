@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chat, decontaminate, digest, quality, sharding, simhash, tokenfile, toxicity, warc
+from quillspark.llm import alignment, ann, bpe, chat, decontaminate, digest, fim, quality, sharding, simhash, tokenfile, toxicity, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -68,7 +68,19 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_chain, op2_content_addressed_warc, op3_seeded_decontamination, op4_improbable_features, op5_simhash_pigeonring, op6_bpe_rank_array, op7_neighbour_quality, op8_directly_addressable_codes, op9_budgeted_windows, op10_vector_packing)}
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.transformation_report(table(spark, sf_dir, "documents"))
+
+
+def op13_rotated_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours_of_share(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity_chain, op2_content_addressed_warc, op3_seeded_decontamination, op4_improbable_features, op5_simhash_pigeonring, op6_bpe_rank_array, op7_neighbour_quality, op8_directly_addressable_codes, op9_budgeted_windows, op10_vector_packing, op11_tokenizer_alignment, op12_fill_in_middle, op13_rotated_bit_codes)}
 
 ORACLES: dict[str, str] = {
     "op2_content_addressed_warc": """
@@ -102,4 +114,15 @@ ORACLES: dict[str, str] = {
           coalesce(string_agg(body, '' ORDER BY turn NULLS FIRST, role, body) FILTER (role = 'assistant'), '') AS loss FROM t GROUP BY conv_id)
         SELECT s.conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars + context AS BIGINT) AS formatted_chars, n_windows
         FROM s JOIN w ON s.conv_id IS NOT DISTINCT FROM w.conv_id""",
+    "op12_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+        h AS (SELECT doc_id, t, length(t) AS n, CAST('0x' || substr(x, 1, 8) AS UBIGINT) AS h1, CAST('0x' || substr(x, 9, 8) AS UBIGINT) AS h2,
+          CAST('0x' || substr(x, 17, 8) AS UBIGINT) AS h3, CAST('0x' || substr(x, 25, 8) AS UBIGINT) AS h4 FROM d),
+        c AS (SELECT doc_id, t, n, CAST(least(h1 % (n + 1), h2 % (n + 1)) AS BIGINT) AS a, CAST(greatest(h1 % (n + 1), h2 % (n + 1)) AS BIGINT) AS b,
+          CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+          sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256,
+          sha256(t) AS restored_sha256
+        FROM p""",
 }
