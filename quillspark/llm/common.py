@@ -144,6 +144,11 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
+def with_document(rows: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """The rows whose `id` is a document's; ids of documents are made distinct in each task before they are dealt out."""
+    return rows.join(docs.select(F.col(f"`{key}`").cast("long").alias("id")).filter("id is not null").distinct(), "id", "left_semi")
+
+
 def slices(sizes: Iterable[int], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows whose sizes add up to about `most`; a larger row is alone."""
     start = total = 0

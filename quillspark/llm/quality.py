@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import batch_of, slices, small_batches, text_or_empty
+from quillspark.llm.common import batch_of, slices, small_batches, text_or_empty, with_document
 
 CLASSES = 64
 BIGRAMS = CLASSES * CLASSES
@@ -101,7 +101,8 @@ class Model:
     sharpness: float = SHARPNESS
 
     def project(self, counts: np.ndarray) -> np.ndarray:
-        return unit(weighted(counts, self.idf) @ self.axes)
+        # In double precision the place of a row in its block can't change six decimals.
+        return unit(weighted(counts, self.idf).astype(np.float64) @ self.axes.astype(np.float64))
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         if not len(self.labels):
@@ -156,7 +157,8 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, np.n
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, text: str = "text", key: str = "doc_id", use: Column | None = None) -> DataFrame:
     """doc_id, y (0 or 1), text of at most per_class documents of each label, chosen by a hash of doc_id."""
     rows = labels.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).filter("id is not null and y in (0, 1)")
-    rows = rows.filter(use if use is not None else F.lit(True))
+    # Labels without a document go before the limit, so they take no other's place.
+    rows = with_document(rows.filter(use if use is not None else F.lit(True)), docs, key)
     order = [F.xxhash64(F.col("id")), F.col("id")]
     picks = [rows.filter(F.col("y") == y).groupBy("id").agg(F.max("y").alias("y")).orderBy(*order).limit(per_class) for y in (0, 1)]
     picked = F.broadcast(picks[0].unionAll(picks[1]))  # at most 2 * per_class short rows
@@ -184,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
         return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), y)
     x = weighted(np.stack([np.frombuffer(zlib.decompress(r.counts), "<u4").astype(np.float32) for r in rows]), idf)
     axes = leading_axes(x, rank)
-    return Model(idf, axes, unit(x @ axes).astype(np.float32), y)
+    return Model(idf, axes, unit(x.astype(np.float64) @ axes.astype(np.float64)), y)
 
 
 def leading_axes(x: np.ndarray, rank: int) -> np.ndarray:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import batch_of, discard, small_batches, stored, text_or_empty
+from quillspark.llm.common import batch_of, discard, small_batches, stored, text_or_empty, with_document
 
 PER_CLASS = 3000
 FEATURES = 600
@@ -191,7 +191,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGOR
     k = len(names)
     marks = [F.coalesce(F.expr(c), F.lit(False)).cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())]
     rows = labels.select(F.col(f"`{key}`").cast("long").alias("id"), *marks).filter("id is not null").filter(use if use is not None else F.lit(True))
-    rows = rows.groupBy("id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(k)])
+    # Labels without a document go before the limit, so they take no other's place.
+    rows = with_document(rows, docs, key).groupBy("id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(k)])
     s = f"y{names.index(stratum)}"
     picks = [rows.filter(F.col(s) == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
     picked = F.broadcast(picks[0].unionAll(picks[1]))  # at most 2 * per_class short rows

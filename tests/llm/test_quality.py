@@ -120,3 +120,12 @@ def test_held_out_quality_and_odd_texts(spark, fitted):
     assert quality.keep_good(odd, model).columns == odd.columns
     unlabelled = quality.fit(odd, labels.limit(0))
     assert [r.score for r in quality.score(odd, unlabelled).collect()] == [0.5] * 3
+
+
+def test_labels_without_a_document_take_no_place_in_the_sample(spark):
+    df = spark.createDataFrame([(500 * i, f"text {i}") for i in range(40)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.range(20_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    labels = labels.unionAll(labels.selectExpr("doc_id", "1 as quality"))
+    sample = quality.labelled_sample(df, labels, "quality", 15).collect()
+    assert len(sample) >= 15 and {r.id for r in sample} <= {500 * i for i in range(40)}
+    assert len(quality.labelled_sample(df, labels, "quality", 1500).collect()) == 40

@@ -129,3 +129,12 @@ def test_whole_result_by_brute_force(spark):
     far = [i for i in range(len(texts)) if np.abs(np.array(got[i]) - want[i]).max() > 1e-3]
     assert len(far) <= 3, far
     assert all((got[i][2] >= 0.5) == (want[i][2] >= 0.5) for i in range(len(texts)))
+
+
+def test_labels_without_a_document_take_no_place_in_the_sample(spark):
+    bad, good = "vile spleen rot", "calm river stone"
+    df = spark.createDataFrame([(500 * i, f"{bad if i % 2 else good} {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.range(20_000).selectExpr("id as doc_id", "1 as quality", "cast(id div 500 % 2 as int) as toxic")
+    chain = toxicity.fit(df, labels, per_class=20)
+    got = {r.doc_id: r.is_toxic for r in toxicity.score(df, chain).collect()}
+    assert got == {500 * i: i % 2 for i in range(40)}
