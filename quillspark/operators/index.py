@@ -1,83 +1,248 @@
-"""A stored inverted index: written once, read by term, with delete, rebuild and count.
-
-The index is a folder of three Parquet tables: `postings` (key, field, pos, term, in BUCKETS folders by a hash of the term),
-`sizes` (key, n_terms) and `gone` (keys that have been deleted). A query names its terms, so it reads the folders of those
-terms alone and of them the rows with those terms; text isn't tokenised again. Only a prefix reads all folders, whose rows the
-reader still filters by term. Deletions are appended keys, which readers take out by an anti join until rebuild() writes the
-index anew.
+"""A stored inverted index of segments: added to, deleted from, merged, and searched for the best k without reading all of it.
+
+A segment is two Parquet tables. `docs` has key, n_terms and the distinct terms of each document. `postings` has one row for
+each block of up to BLOCK documents of a term: keys, hits, lengths and places as arrays, and beside them the most hits and the
+least length in the block. Blocks hold the documents of a term from many hits to few, so the bounds of later blocks are low.
+Blocks lie in folders by a hash of the term; tasks and folders follow the number of terms, and a frequent term is spread by its
+keys. Statistics (documents, terms) stand in the manifest, a small table written anew for each change; readers take the newest
+complete one, and what it doesn't name is no part of the index until vacuum() removes it. There is one writer at a time.
+
+Deleting writes the keys and, by term, how many documents went; readers leave those keys out and subtract those numbers, so
+statistics and ranks are those of an index built anew. merge() joins segments of like size and drops what was deleted.
+
+Queries of whole terms under AND and OR are ranked from blocks alone. top() first reads the blocks of highest bounds, which
+gives the k-th best score so far; after that it reads the blocks that can still hold a better document (beside a much rarer
+term nearly all of a frequent one, since the sums of the rare term's documents need them). Phrases, prefixes, fields
+and NOT take all postings of their terms. Null texts count as empty; keys must be new and distinct, null keys are left out.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillspark.operators import search
 
-BUCKETS = 64
+#: Documents of one posting block, terms (with repeats) for one write task, segments of one size that merge() joins.
+BLOCK, TASK_TERMS, FANOUT = 128, 4_000_000, 4
+MANIFEST = "segment string, n_docs long, n_terms long, buckets int, gone array<string>"
 
 
-def term_bucket(term: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+def term_bucket(term: Column, buckets: int | Column) -> Column:
+    return F.pmod(F.xxhash64(term), buckets if isinstance(buckets, Column) else F.lit(buckets)).cast("int")
 
 
-def write_index(docs: DataFrame, path: str, fields: list[str], key: str = "id", buckets: int = BUCKETS) -> None:
-    """Index the fields of docs at path; one shuffle deals postings by term bucket, sorted so that files can be skipped."""
-    post = search.postings(docs, fields, key).withColumn("bucket", term_bucket(F.col("term"), buckets))
-    # A frequent term is spread by its keys, so no bucket's writer holds it alone.
-    post = post.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("bucket", "term", key, "field", "pos")
-    post.write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
-    search.lengths(docs, fields, key).write.mode("overwrite").parquet(f"{path}/sizes")
-    docs.select(key).limit(0).write.mode("overwrite").parquet(f"{path}/gone")
+# --- manifest ---------------------------------------------------------------------------------------------------------
 
 
-def add_documents(docs: DataFrame, path: str, fields: list[str], key: str = "id", buckets: int = BUCKETS) -> None:
-    """Index more documents; their keys must be new."""
-    post = search.postings(docs, fields, key).withColumn("bucket", term_bucket(F.col("term"), buckets))
-    post.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("append").parquet(f"{path}/postings")
-    search.lengths(docs, fields, key).write.mode("append").parquet(f"{path}/sizes")
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def delete_documents(keys: DataFrame, path: str, key: str = "id") -> None:
-    keys.select(key).write.mode("append").parquet(f"{path}/gone")
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, at = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    return [v for v in _names(spark, f"{path}/manifest") if "_SUCCESS" in _names(spark, f"{path}/manifest/{v}")]
 
 
 def available(spark: SparkSession, path: str) -> bool:
     """Whether there is an index at path."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/postings/_SUCCESS")
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return bool(_versions(spark, path))
+
+
+def segments(spark: SparkSession, path: str) -> list[Row]:
+    """The rows of the newest manifest, one for each segment."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"no index at {path}")
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest/{versions[-1]}").orderBy("segment").collect()
+
+
+def _publish(spark: SparkSession, path: str, rows: list[Row]) -> None:
+    versions = _names(spark, f"{path}/manifest")
+    number = int(versions[-1]) + 1 if versions else 0
+    spark.createDataFrame([tuple(r) for r in rows], MANIFEST).coalesce(1).write.parquet(f"{path}/manifest/{number:08d}")
+
+
+def vacuum(spark: SparkSession, path: str) -> None:
+    """Remove what the newest manifest doesn't name. No reader of an older one may be at work."""
+    rows = segments(spark, path)
+    named = {"manifest": {_versions(spark, path)[-1]}, "segments": {r.segment for r in rows}, "gone": {g for r in rows for g in r.gone}}
+    for kind, keep in named.items():
+        for name in set(_names(spark, f"{path}/{kind}")) - keep:
+            fs, at = _folder(spark, f"{path}/{kind}/{name}")
+            fs.delete(at, True)
+
+
+# --- writing ----------------------------------------------------------------------------------------------------------
+
+
+def _tokens(docs: DataFrame, fields: list[str], key: str) -> DataFrame:
+    """key and ts: the terms of all fields as array of struct(term, field, pos)."""
+
+    def placed(field: str) -> Column:
+        return F.transform(search.terms(F.col(field)), lambda t, i: F.struct(t.alias("term"), F.lit(field).alias("field"), i.alias("pos")))
+
+    parts = [placed(f) for f in fields]
+    return docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.concat(*parts).alias("ts"))
+
+
+def _write_segment(spark: SparkSession, path: str, documents: DataFrame, spots: DataFrame) -> Row:
+    """A new segment of documents (key, n_terms, terms) and spots (key, n_terms, term, place: struct(field, pos))."""
+    name = uuid.uuid4().hex
+    at = f"{path}/segments/{name}"
+    documents.write.option("compression", "zstd").parquet(f"{at}/docs")
+    size = spark.read.parquet(f"{at}/docs").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_terms"), F.lit(0)).alias("terms")).first()
+    tasks = max(1, -(-size.terms // TASK_TERMS))
+    salts = math.ceil(math.sqrt(tasks))
+    buckets = -(-tasks // salts)
+    dealt = spots.withColumn("bucket", term_bucket(F.col("term"), buckets)).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
+    # One shuffle: what follows groups within these partitions.
+    dealt = dealt.repartition(buckets * salts, "bucket", "salt")
+    each = dealt.groupBy("bucket", "salt", "term", "key", "n_terms").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    order = Window.partitionBy("bucket", "salt", "term").orderBy(F.size("places").desc(), "n_terms", "key")
+    each = each.withColumn("hits", F.size("places")).withColumn("at", F.row_number().over(order) - 1)
+    block = F.floor(F.col("at") / BLOCK).cast("int").alias("block")
+    entries = F.sort_array(F.collect_list(F.struct("at", "key", "hits", "n_terms", "places"))).alias("e")
+    blocks = each.groupBy("bucket", "salt", "term", block).agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("hits").alias("most_hits"), F.min("n_terms").alias("least_terms"), entries)
+    blocks = blocks.select("bucket", "term", "salt", "block", "n", "most_hits", "least_terms", *[F.col(f"e.{c}").alias(c) for c in ("key", "hits", "n_terms", "places")])
+    blocks.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{at}/postings")
+    return Row(segment=name, n_docs=size.n, n_terms=size.terms, buckets=buckets, gone=[])
+
+
+def _segment_of(docs: DataFrame, path: str, fields: list[str], key: str) -> Row:
+    tokens = _tokens(docs, fields, key)
+    n_terms = F.size("ts").cast("long").alias("n_terms")
+    documents = tokens.select("key", n_terms, F.array_distinct(F.transform("ts", lambda t: t["term"])).alias("terms"))
+    spots = tokens.select("key", n_terms, F.explode("ts").alias("t")).select("key", "n_terms", "t.term", F.struct("t.field", "t.pos").alias("place"))
+    return _write_segment(docs.sparkSession, path, documents, spots)
+
+
+def write_index(docs: DataFrame, path: str, fields: list[str], key: str = "id") -> None:
+    """Index the fields of docs at path; an index that was there is replaced as soon as the new one is whole."""
+    _publish(docs.sparkSession, path, [_segment_of(docs, path, fields, key)])
+
+
+#: The same: nothing of the old index, deletions included, stays in the manifest.
+rebuild = write_index
+
+
+def add_documents(docs: DataFrame, path: str, fields: list[str], key: str = "id") -> None:
+    """Index more documents as a segment; their keys must be new, or deleted."""
+    spark = docs.sparkSession
+    _publish(spark, path, [*segments(spark, path), _segment_of(docs, path, fields, key)])
 
 
-def _live(table: DataFrame, path: str, key: str) -> DataFrame:
-    gone = table.sparkSession.read.parquet(f"{path}/gone").distinct()
-    return table.join(gone, key, "left_anti")
+def _gone(spark: SparkSession, path: str, row: Row, table: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [spark.read.parquet(f"{path}/gone/{g}/{table}") for g in row.gone])
+
+
+def _live(table: DataFrame, spark: SparkSession, path: str, row: Row) -> DataFrame:
+    """The rows of a segment's table whose key hasn't been deleted."""
+    return table.join(_gone(spark, path, row, "keys"), "key", "left_anti") if row.gone else table
+
+
+def _docs(spark: SparkSession, path: str, row: Row) -> DataFrame:
+    return _live(spark.read.parquet(f"{path}/segments/{row.segment}/docs"), spark, path, row)
+
+
+def delete_documents(keys: DataFrame, path: str, key: str = "id") -> None:
+    """Delete by key; keys that aren't there are ignored."""
+    spark, rows = keys.sparkSession, []
+    wanted = keys.select(F.col(key).alias("key")).filter("key is not null").distinct()
+    for row in segments(spark, path):
+        name = uuid.uuid4().hex
+        met = _docs(spark, path, row).join(wanted, "key", "left_semi")
+        met.select("key", "n_terms", "terms").write.parquet(f"{path}/gone/{name}/docs")
+        met = spark.read.parquet(f"{path}/gone/{name}/docs")
+        size = met.agg(F.count(F.lit(1)).alias("n"), F.sum("n_terms").alias("terms")).first()
+        if size.n:
+            met.select("key").write.parquet(f"{path}/gone/{name}/keys")
+            met.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/gone/{name}/terms")
+            row = Row(segment=row.segment, n_docs=row.n_docs - size.n, n_terms=row.n_terms - size.terms, buckets=row.buckets, gone=[*row.gone, name])
+        if row.n_docs:
+            rows.append(row)
+    _publish(spark, path, rows)
+
+
+def tiers(rows: list[Row], fanout: int = FANOUT) -> list[list[Row]]:
+    """Segments of like size (within a factor of fanout) where there are fanout of them or more."""
+    found: dict[int, list[Row]] = {}
+    for r in rows:
+        found.setdefault(int(math.log(max(r.n_docs, 1), fanout)), []).append(r)
+    return [t for _, t in sorted(found.items()) if len(t) >= fanout]
+
+
+def merge(spark: SparkSession, path: str, fanout: int = FANOUT) -> int:
+    """Join segments of like size until no size has fanout of them; how many joins that took. Readers see one manifest or
+    the next."""
+    joins = 0
+    while full := tiers(rows := segments(spark, path), fanout):
+        part = full[0]
+        documents = reduce(DataFrame.unionByName, [_docs(spark, path, r) for r in part])
+        spots = reduce(DataFrame.unionByName, [_entries(spark, path, r, spark.read.parquet(f"{path}/segments/{r.segment}/postings"), places=True) for r in part])
+        merged = _write_segment(spark, path, documents, spots.select("key", "n_terms", "term", F.explode("places").alias("place")))
+        _publish(spark, path, [*[r for r in rows if r not in part], merged])
+        joins += 1
+    return joins
+
+
+# --- reading ----------------------------------------------------------------------------------------------------------
+
+
+def _entries(spark: SparkSession, path: str, row: Row, blocks: DataFrame, places: bool = False) -> DataFrame:
+    """term, key, hits, n_terms (and places) of the live documents in blocks; without places, these aren't read."""
+    columns = ["key", "hits", "n_terms", *(["places"] if places else [])]
+    out = blocks.select("term", F.explode(F.arrays_zip(*columns)).alias("e")).select("term", *[f"e.{c}" for c in columns])
+    return _live(out, spark, path, row)
 
 
 def sizes(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
-    return _live(spark.read.parquet(f"{path}/sizes"), path, key)
+    rows = segments(spark, path)
+    none = spark.createDataFrame([], "key long, n_terms long")
+    return reduce(DataFrame.unionByName, [_docs(spark, path, r).select("key", "n_terms") for r in rows] or [none]).withColumnRenamed("key", key)
 
 
-def postings_of(spark: SparkSession, path: str, tree: tuple, key: str = "id", buckets: int = BUCKETS) -> DataFrame:
-    """The postings of a query's terms: whole terms name their folders, prefixes a range of terms in every folder."""
+def statistics(rows: list[Row]) -> tuple[int, float]:
+    """Documents, and mean number of terms."""
+    n = sum(r.n_docs for r in rows)
+    return n, sum(r.n_terms for r in rows) / n if n else 0.0
+
+
+def _blocks(spark: SparkSession, path: str, row: Row, whole: set[str], prefixes: set[str] = frozenset()) -> DataFrame:
+    """The blocks of terms: whole ones name their folders, prefixes a range of terms in every folder."""
+    tests = [(F.col("bucket") == term_bucket(F.lit(t), row.buckets)) & (F.col("term") == t) for t in sorted(whole)]
+    tests += [F.startswith(F.col("term"), F.lit(p)) for p in sorted(prefixes)]
+    return spark.read.parquet(f"{path}/segments/{row.segment}/postings").filter(reduce(lambda a, b: a | b, tests, F.lit(False)))
+
+
+def postings_of(spark: SparkSession, path: str, tree: tuple, key: str = "id") -> DataFrame:
+    """key, field, pos, term, n_terms: the postings of a query's terms."""
     whole, prefixes = set(), set()
 
     def visit(t: tuple) -> None:
         if t[0] == "phrase":
-            last = len(t[1]) - 1
             for i, term in enumerate(t[1]):
-                (prefixes if t[2] and i == last else whole).add(term)
+                (prefixes if t[2] and i == len(t[1]) - 1 else whole).add(term)
         else:
             visit(t[1])
             visit(t[2])
 
     visit(tree)
-    rows = spark.read.parquet(f"{path}/postings")
-    tests = [(F.col("bucket") == term_bucket(F.lit(t), buckets)) & (F.col("term") == t) for t in sorted(whole)]
-    tests += [F.startswith(F.col("term"), F.lit(p)) for p in sorted(prefixes)]
-    rows = rows.filter(reduce(lambda a, b: a | b, tests, F.lit(False)))
-    return _live(rows, path, key).drop("bucket")
+    parts = [_entries(spark, path, r, _blocks(spark, path, r, whole, prefixes), places=True) for r in segments(spark, path)]
+    if not parts:
+        return spark.createDataFrame([], f"{key} long, field string, pos int, term string, n_terms long")
+    rows = reduce(DataFrame.unionByName, parts).select("key", "term", "n_terms", F.explode("places").alias("p"))
+    return rows.select(F.col("key").alias(key), "p.field", "p.pos", "term", "n_terms")
 
 
 def find(spark: SparkSession, path: str, query: str, key: str = "id") -> DataFrame:
@@ -85,6 +250,8 @@ def find(spark: SparkSession, path: str, query: str, key: str = "id") -> DataFra
     if not query.strip():
         return sizes(spark, path, key).select(key).filter(F.lit(False))
     tree = search.parse(query)
+    if (names := plain_terms(tree)) is not None and segments(spark, path):
+        return _scored(spark, path, tree, names, key).select(key)
     return search.matching(postings_of(spark, path, tree, key), tree, key)
 
 
@@ -92,14 +259,109 @@ def count(spark: SparkSession, path: str, query: str, key: str = "id") -> DataFr
     return find(spark, path, query, key).agg(F.count(F.lit(1)).alias("matches"))
 
 
+def plain_terms(tree: tuple) -> list[str] | None:
+    """The terms of a query of whole terms under AND and OR in the order of search.phrases(); None for any other."""
+    if tree[0] == "not":
+        return None
+    if tree[0] == "phrase":
+        return tree[1] if len(tree[1]) == 1 and not tree[2] and tree[3] is None else None
+    parts = [plain_terms(t) for t in tree[1:]]
+    return None if None in parts else parts[0] + parts[1]
+
+
+def _part(hits: Column, n_terms: Column, mean: float) -> Column:
+    """A term's share of the score without its idf: more for more hits, less for longer documents."""
+    return search.saturation(hits, n_terms, F.lit(mean))
+
+
+def _weights(spark: SparkSession, path: str, rows: list[Row], names: list[str], mean: float) -> dict[str, Row]:
+    """For each term of a query: df (live documents), top (the largest bound of a block without idf), blocks."""
+    parts = []
+    for r in rows:
+        parts.append(_blocks(spark, path, r, set(names)).select("term", "n", _part(F.col("most_hits"), F.col("least_terms"), mean).alias("part"), F.lit(1).alias("block")))
+        if r.gone:
+            gone = _gone(spark, path, r, "terms").filter(F.col("term").isin(names))
+            parts.append(gone.select("term", (-F.col("n")).alias("n"), F.lit(None).cast("double").alias("part"), F.lit(0).alias("block")))
+    found = reduce(DataFrame.unionByName, parts).groupBy("term").agg(F.sum("n").alias("df"), F.max("part").alias("top"), F.sum("block").alias("blocks"))
+    return {r.term: r for r in found.collect()}  # one row for each term of the query
+
+
+def _scored(spark: SparkSession, path: str, tree: tuple, names: list[str], key: str, weigh: dict[str, float] | None = None, mean: float = 0.0, keep=None) -> DataFrame:
+    """key, and rank where terms have weights, of the documents that satisfy the tree by the blocks that `keep` leaves of each segment."""
+    rows = segments(spark, path)
+    parts = [_entries(spark, path, r, keep(_blocks(spark, path, r, set(names))) if keep else _blocks(spark, path, r, set(names))) for r in rows]
+    entries = reduce(DataFrame.unionByName, parts)
+    terms = sorted(set(names))
+    have = [F.max(F.col("term") == t).alias(f"have_{i}") for i, t in enumerate(terms)]
+    score = [(-F.sum(_by_term(weigh) * _part(F.col("hits"), F.col("n_terms"), mean))).alias("rank")] if weigh else []
+    out = entries.groupBy("key").agg(*have, *score)
+    met = search.needed(tree, [F.col(f"have_{terms.index(t)}") for t in names])
+    return out.filter(met).select(F.col("key").alias(key), *(["rank"] if weigh else []))
+
+
+def _by_term(values: dict[str, float]) -> Column:
+    return reduce(lambda c, t: c.when(F.col("term") == t, F.lit(float(values[t]))), sorted(values), F.when(F.lit(False), F.lit(0.0))).otherwise(F.lit(0.0))
+
+
 def rank(spark: SparkSession, path: str, query: str, key: str = "id") -> DataFrame:
-    """key, rank: BM25 from the stored postings and sizes."""
-    if not query.strip():
+    """key, rank: BM25 from the stored postings and statistics, for all documents that match."""
+    rows = segments(spark, path)
+    if not query.strip() or not rows:
         return sizes(spark, path, key).select(key, F.lit(0.0).alias("rank")).filter(F.lit(False))
     tree = search.parse(query)
-    return search.ranked(postings_of(spark, path, tree, key), sizes(spark, path, key), tree, key)
+    n, mean = statistics(rows)
+    if (names := plain_terms(tree)) is None:
+        return search.ranked(postings_of(spark, path, tree, key), None, tree, key, (n, mean))
+    found = _weights(spark, path, rows, names, mean)
+    return _scored(spark, path, tree, names, key, {t: names.count(t) * search.idf_of(n, found[t].df if t in found else 0) for t in names}, mean)
 
 
-def rebuild(docs: DataFrame, path: str, fields: list[str], key: str = "id", buckets: int = BUCKETS) -> None:
-    """Write the index of docs anew; nothing of the old one, deletions included, stays."""
-    write_index(docs, path, fields, key, buckets)
+def bounded(spark: SparkSession, path: str, query: str, k: int, key: str = "id", allowed: DataFrame | None = None):
+    """(scorer, keep) of a query of plain terms: scorer(keep) ranks the documents of the blocks that keep leaves, and keep
+    leaves those that can hold one of the k best of `allowed` (keys; None: all). None for queries of other kinds."""
+    rows = segments(spark, path)
+    tree = search.parse(query)
+    names = plain_terms(tree)
+    if names is None or not rows:
+        return None
+    n, mean = statistics(rows)
+    found = _weights(spark, path, rows, names, mean)
+    weigh = {t: names.count(t) * search.idf_of(n, found[t].df if t in found else 0) for t in names}
+    most = {t: weigh[t] * (found[t].top or 0.0) if t in found else 0.0 for t in weigh}
+    bound = _by_term(weigh) * _part(F.col("most_hits"), F.col("least_terms"), mean)
+
+    def scorer(keep) -> DataFrame:
+        out = _scored(spark, path, tree, names, key, weigh, mean, keep)
+        return out if allowed is None else out.join(allowed.select(key).distinct(), key, "left_semi")
+
+    all_blocks = max((r.blocks for r in found.values()), default=0)
+    first, least = -(-k // BLOCK) + 1, -math.inf
+    while first < all_blocks:
+        best = Window.partitionBy("term").orderBy(bound.desc())
+        head = scorer(lambda b, m=first: b.withColumn("__r", F.row_number().over(best)).filter(F.col("__r") <= m))
+        # Sums over some of a document's terms are below its score, so the k-th of them is a score that k documents reach.
+        kth = head.orderBy("rank").limit(k).agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("worst")).first()
+        if kth.n == k:
+            least = -kth.worst
+            break
+        first *= 16
+    others = {t: sum(v for u, v in most.items() if u != t) for t in most}
+    return scorer, lambda b: b.filter(bound + _by_term(others) >= least - 1e-9)
+
+
+def top(spark: SparkSession, path: str, query: str, k: int, key: str = "id", allowed: DataFrame | None = None) -> DataFrame:
+    """key, rank of the k best documents of `allowed` (keys; None: all), ties by key: what rank() has first."""
+    if k < 1:
+        raise ValueError("k must be 1 at least")
+    if query.strip() and (plan := bounded(spark, path, query, k, key, allowed)):
+        scorer, keep = plan
+        return scorer(keep).orderBy("rank", key).limit(k)
+    found = rank(spark, path, query, key)
+    return (found if allowed is None else found.join(allowed.select(key).distinct(), key, "left_semi")).orderBy("rank", key).limit(k)
+
+
+def blocks_read(spark: SparkSession, path: str, query: str, k: int) -> tuple[int, int]:
+    """How many blocks top() reads in its last step, and how many the terms have."""
+    _, keep = bounded(spark, path, query, k)
+    parts = [_blocks(spark, path, r, set(plain_terms(search.parse(query)))) for r in segments(spark, path)]
+    return sum(keep(p).count() for p in parts), sum(p.count() for p in parts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 from functools import reduce
@@ -191,15 +192,17 @@ def phrase_hits(index: DataFrame, phrase: tuple, key: str = "id") -> DataFrame:
     """key, hits: occurrences of a phrase; positions of its terms line up in one field."""
     _, ts, prefix, only = phrase
     rows = index if only is None else index.filter(F.col("field") == only)
+    # Postings of a stored index bring the lengths of their documents along.
+    size = [F.max("n_terms").alias("n_terms")] if "n_terms" in index.columns else []
     if not ts:
-        return rows.filter(F.lit(False)).groupBy(key).agg(F.count(F.lit(1)).alias("hits"))
+        return rows.filter(F.lit(False)).groupBy(key).agg(F.count(F.lit(1)).alias("hits"), *size)
     tests = [F.startswith(F.col("term"), F.lit(t)) if prefix and i == len(ts) - 1 else F.col("term") == t for i, t in enumerate(ts)]
     if len(ts) == 1:
-        return rows.filter(tests[0]).groupBy(key).agg(F.count(F.lit(1)).alias("hits"))
+        return rows.filter(tests[0]).groupBy(key).agg(F.count(F.lit(1)).alias("hits"), *size)
     spots = F.array_compact(F.array(*[F.when(t, i) for i, t in enumerate(tests)]))
-    starts = rows.filter(reduce(lambda a, b: a | b, tests)).select(key, "field", "pos", F.explode(spots).alias("i"))
-    starts = starts.groupBy(key, "field", (F.col("pos") - F.col("i")).alias("start")).agg(F.count_distinct("i").alias("n")).filter(F.col("n") == len(ts))
-    return starts.groupBy(key).agg(F.count(F.lit(1)).alias("hits"))
+    starts = rows.filter(reduce(lambda a, b: a | b, tests)).select(key, "field", "pos", *(["n_terms"] if size else []), F.explode(spots).alias("i"))
+    starts = starts.groupBy(key, "field", (F.col("pos") - F.col("i")).alias("start")).agg(F.count_distinct("i").alias("n"), *size).filter(F.col("n") == len(ts))
+    return starts.groupBy(key).agg(F.count(F.lit(1)).alias("hits"), *size)
 
 
 def matching(index: DataFrame, tree: tuple, key: str = "id") -> DataFrame:
@@ -222,10 +225,20 @@ def bm25(docs: DataFrame, index: DataFrame, query: str, fields: list[str], key:
     return ranked(index, lengths(docs, fields, key) if sizes is None else sizes, parse(query), key)
 
 
-def ranked(index: DataFrame, size: DataFrame, tree: tuple, key: str = "id") -> DataFrame:
-    """key, rank of the documents that satisfy the tree. The postings of each phrase are read once: where the tree joins
-    phrases by AND or OR alone, matching is told from the same hits."""
-    stats = size.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("avg_terms"))
+def saturation(hits: Column, n_terms: Column, mean: Column) -> Column:
+    """A phrase's share of BM25 without its idf; k1 = 1.2, b = 0.75."""
+    return hits * 2.2 / (hits + 1.2 * (0.25 + 0.75 * n_terms / mean))
+
+
+def idf_of(n_docs: int, df: int) -> float:
+    idf = math.log((n_docs - df + 0.5) / (df + 0.5))
+    return 1e-6 if idf <= 0 else idf
+
+
+def ranked(index: DataFrame, size: DataFrame | None, tree: tuple, key: str = "id", known: tuple[int, float] | None = None) -> DataFrame:
+    """key, rank of the documents that satisfy the tree; where it joins phrases by AND or OR alone, matching is told from the
+    same hits. known: number of documents and their mean length, if the postings bring the lengths (n_terms) along; else
+    size has key and n_terms of every document."""
     counted = phrases(tree)
     parts = [phrase_hits(index, p, key).withColumn("p", F.lit(i)) for i, p in enumerate(counted)]
     hits = reduce(DataFrame.unionAll, parts)
@@ -233,11 +246,16 @@ def ranked(index: DataFrame, size: DataFrame, tree: tuple, key: str = "id") -> D
     met = needed(tree, [F.col("have").getItem(i) for i in range(len(counted))])
     if met is None:
         hits = hits.join(matching(index, tree, key), key, "left_semi")
-    # One row of statistics goes to every hit.
-    hits = hits.join(F.broadcast(df), "p").join(size, key).crossJoin(F.broadcast(stats))
+    hits = hits.join(F.broadcast(df), "p")
+    if known is None:
+        # One row of statistics goes to every hit.
+        stats = size.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("avg_terms"))
+        hits = hits.join(size, key).crossJoin(F.broadcast(stats))
+    else:
+        hits = hits.withColumns({"n_docs": F.lit(known[0]), "avg_terms": F.lit(known[1])})
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-    part = idf * F.col("hits") * 2.2 / (F.col("hits") + 1.2 * (0.25 + 0.75 * F.col("n_terms") / F.col("avg_terms")))
+    part = idf * saturation(F.col("hits"), F.col("n_terms"), F.col("avg_terms"))
     if met is None:
         return hits.groupBy(key).agg((-F.sum(part)).alias("rank"))
     have = F.array(*[F.max(F.col("p") == i) for i in range(len(counted))]).alias("have")
@@ -295,12 +313,18 @@ def item(row: DataFrame) -> DataFrame:
     return row.fillna(0, ["chunks_count"]) if "chunks_count" in row.columns else row.withColumn("chunks_count", F.lit(0).cast("long"))
 
 
-def search(docs: DataFrame, q: Query, chunk_counts: DataFrame | None = None, index: DataFrame | None = None, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(page, total): ranked if the keyword is in the grammar, substring search otherwise, a filtered scan if it is blank."""
+def search(docs: DataFrame, q: Query, chunk_counts: DataFrame | None = None, index: DataFrame | None = None, sizes: DataFrame | None = None, index_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(page, total): ranked if the keyword is in the grammar, substring search otherwise, a filtered scan if it is blank.
+
+    index_path: a stored index of docs (operators.index). Texts are tokenised for the query only without it (or without
+    index and sizes). A page by relevance then takes its documents from the blocks that can hold one of them.
+    """
     fields = [f for f in ("filename", "extracted_text", "structured_json") if f in docs.columns]
     rows = docs
     if q.keyword.strip():
         try:
+            if index_path:
+                return _search_stored(docs, q, index_path, chunk_counts)
             ranks = bm25(docs, postings(docs, fields) if index is None else index, q.keyword, fields, sizes=sizes)
             rows = docs.join(ranks, "id")
         except QueryError:
@@ -312,3 +336,21 @@ def search(docs: DataFrame, q: Query, chunk_counts: DataFrame | None = None, ind
     if by == "relevance":
         by, down = ("rank", not q.descending) if "rank" in rows.columns else ("created_at", True)
     return sort_page(rows, by, down, q.page, q.page_size), rows.agg(F.count(F.lit(1)).alias("total"))
+
+
+def _search_stored(docs: DataFrame, q: Query, path: str, chunk_counts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    from quillspark.operators import index
+
+    spark = docs.sparkSession
+    kept = docs.filter(condition(q.filters))
+    total = kept.select("id").join(index.find(spark, path, q.keyword), "id", "left_semi").agg(F.count(F.lit(1)).alias("total"))
+    by, down = ("rank", not q.descending) if q.sort_by == "relevance" else (q.sort_by, q.descending)
+    if by == "rank" and not down:
+        # Only documents that pass the filters are candidates; statistics are those of all documents.
+        ranks = index.top(spark, path, q.keyword, max(q.page, 1) * q.page_size, allowed=None if q.filters == Filters() else kept)
+    else:
+        ranks = index.rank(spark, path, q.keyword)
+    rows = kept.join(ranks, "id")
+    if chunk_counts is not None:
+        rows = rows.join(chunk_counts, "id", "left").fillna(0, ["chunks_count"])
+    return sort_page(rows, by, down, q.page, q.page_size), total

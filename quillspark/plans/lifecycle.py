@@ -662,7 +662,7 @@ def export_projection(t):
 
 # --- stored index -----------------------------------------------------------------------------------------------------
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple, str] = {}
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -685,12 +685,20 @@ def _remove(spark: SparkSession, path: str) -> None:
             backup.remove(spark, path)
 
 
-def stored_index(spark: SparkSession, sf_dir: str) -> str:
-    """The index of documents.text, written once for each session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def table_state(spark: SparkSession, path: str) -> tuple:
+    """Name, size and time of each file of a table: what tells a table that has changed."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+
+
+def stored_index(spark: SparkSession, sf_dir: str, shape=lambda d: d.select(F.col("doc_id").alias("id"), "text"), fields: tuple[str, ...] = ("text",)) -> str:
+    """An index of documents in some shape, written once for each session and state of the table."""
+    table = f"{sf_dir}/documents.parquet"
+    key = (spark.sparkContext.applicationId, table_state(spark, table), fields)
     if key not in _STORED:
         path = work_path(spark, "index")
-        index.write_index(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), path, ["text"], "doc_id")
+        index.write_index(shape(spark.read.parquet(table)), path, list(fields))
         _STORED[key] = path
     return _STORED[key]
 
@@ -720,15 +728,67 @@ QUERIES["index_delete"] = index_delete
 ORACLES["index_delete"] = f"WITH {_INDEX} SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND ({_has('the')} OR {_has('sein')})"
 
 
-@query(f"""WITH {LIBRARY}, ft AS (SELECT id, regexp_extract_all(translate(lower(filename), '{_FOLD_FROM}', '{_FOLD_TO}'), '[\\p{{L}}\\p{{N}}]+') || regexp_extract_all(translate(lower(extracted_text), '{_FOLD_FROM}', '{_FOLD_TO}'), '[\\p{{L}}\\p{{N}}]+') AS ts FROM lib)
-SELECT id, status, CAST(id % 4 AS BIGINT) AS chunks_count FROM lib JOIN ft USING (id) WHERE list_contains(ts, 'the') AND status = 'stored' AND confidence_score >= 0.3 ORDER BY created_at DESC, id LIMIT 20 OFFSET 20""")
-def search_page(t):
-    docs = library(t("documents"))
+def index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index in five parts, of which documents are deleted, some come back, and which is merged before the search."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    path = work_path(spark, "index")
+    index.write_index(docs.filter("doc_id % 5 = 0"), path, ["text"], "doc_id")
+    for part in (1, 2, 3, 4):
+        index.add_documents(docs.filter(F.col("doc_id") % 5 == part), path, ["text"], "doc_id")
+    index.delete_documents(docs.filter("doc_id % 3 = 0"), path, "doc_id")
+    index.add_documents(docs.filter("doc_id % 6 = 0"), path, ["text"], "doc_id")
+    index.merge(spark, path)
+    index.vacuum(spark, path)
+    return index.rank(spark, path, "the OR sein", "doc_id").select("doc_id", text.half_up(F.col("rank"), 5).alias("rank"))
+
+
+def _ranks(source: str, *terms: str) -> str:
+    """SQL: tables tok (id, ts), hits and r (id, rank: BM25 of terms under OR) of a source with id and ts."""
+    idf = "ln((nd - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE))"
+    return f"""tok AS ({source}), hits AS (SELECT id, term, count(*) AS f FROM (SELECT id, unnest(ts) AS term FROM tok) WHERE term IN ({", ".join(f"'{t}'" for t in terms)}) GROUP BY ALL),
+df AS (SELECT term, count(*) AS n FROM hits GROUP BY term), st AS (SELECT count(*) AS nd, avg(len(ts)) AS a FROM tok),
+r AS (SELECT h.id, -sum(CASE WHEN {idf} <= 0 THEN 1e-6::DOUBLE ELSE {idf} END * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(ts) / a))) AS rank
+FROM hits h JOIN df USING (term) JOIN tok USING (id), st GROUP BY h.id)"""
+
+
+def _words(c: str) -> str:
+    return f"regexp_extract_all(translate(lower({c}), '{_FOLD_FROM}', '{_FOLD_TO}'), '[\\p{{L}}\\p{{N}}]+')"
+
+
+QUERIES["index_merge"] = index_merge
+ORACLES["index_merge"] = f"WITH {_ranks('SELECT doc_id AS id, ' + _words('text') + ' AS ts FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 6 = 0', 'the', 'sein')} SELECT id AS doc_id, {_half_up('rank', 5)} AS rank FROM r"
+
+_LIBRARY_WORDS = f"SELECT id, {_words('filename')} || {_words('extracted_text')} AS ts FROM lib"
+
+
+def library_index(spark: SparkSession, sf_dir: str) -> str:
+    return stored_index(spark, sf_dir, lambda d: library(d).select("id", "filename", "extracted_text"), ("filename", "extracted_text"))
+
+
+def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = library(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     chunks = docs.filter("id % 4 > 0").select("id", (F.col("id") % 4).alias("chunks_count"))
-    page, _ = search.search(docs, search.Query("the", search.Filters(status="stored", confidence_min=0.3), page=2), chunks)
+    page, _ = search.search(docs, search.Query("the", search.Filters(status="stored", confidence_min=0.3), page=2), chunks, index_path=library_index(spark, sf_dir))
     return page.select("id", "status", "chunks_count")
 
 
+QUERIES["search_page"] = search_page
+ORACLES["search_page"] = f"""WITH {LIBRARY}, ft AS ({_LIBRARY_WORDS})
+SELECT id, status, CAST(id % 4 AS BIGINT) AS chunks_count FROM lib JOIN ft USING (id) WHERE list_contains(ts, 'the') AND status = 'stored' AND confidence_score >= 0.3 ORDER BY created_at DESC, id LIMIT 20 OFFSET 20"""
+
+
+def ranked_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page by relevance of the documents that pass a filter, from the blocks that can hold one of them."""
+    docs = library(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    page, _ = search.search(docs, search.Query("thing OR sein", search.Filters(status="stored"), sort_by="relevance", page=2, page_size=15), index_path=library_index(spark, sf_dir))
+    return page.select("id", "status", text.half_up(F.col("rank"), 5).alias("rank"))
+
+
+QUERIES["ranked_page"] = ranked_page
+ORACLES["ranked_page"] = f"""WITH {LIBRARY}, {_ranks(_LIBRARY_WORDS, 'thing', 'sein')}
+SELECT id, status, {_half_up('rank', 5)} AS rank FROM r JOIN lib USING (id) WHERE status = 'stored' ORDER BY r.rank, id LIMIT 15 OFFSET 15"""
+
+
 @query(f"WITH {LIBRARY} SELECT id, filename FROM lib WHERE filename ILIKE '%5.pd%' OR extracted_text ILIKE '%5.pd%' ORDER BY created_at DESC, id LIMIT 20")
 def search_fallback(t):
     page, _ = search.search(library(t("documents")), search.Query("5.pd"))
