@@ -2,9 +2,9 @@
 
 Python only tokenises: for each document it gives the ids of both tokenizers and the byte offsets at which their tokens end.
 Everything after it is Spark: the ends that both have (array_intersect) cut the bytes into groups; the two tokens that end
-at such a place are a link. Token entries carry their end in the high bits, so sorting them together with the cuts (two
-ascending runs) puts a mark behind the last token of each group, and no step looks a place up by search: work is linear
-in the tokens, also for very long texts.
+at such a place are a link. A token entry has its end in the high bits and its id below, so sorting the entries of a side
+together with marks made of the cuts (two ascending runs) puts a mark behind the last token of each group, and no step looks a
+place up by search: work is linear in the tokens, also for very long texts.
 
 An id pair's count is the number of links in the corpus that hold it. Counts of pairs are added in each task first. For the
 way back each link meets its pair's count: pairs that make up at least one link in HOT_PAIRS are at most HOT_PAIRS many and are
@@ -13,8 +13,7 @@ pairs are fewer than HOT_PAIRS, all are broadcast. The largest count of an id of
 its vocabulary, which bounds that broadcast.
 
 The first tokenizer is byte-level BPE and gets a space and the text; the second is a sentencepiece model, which adds the space
-itself. Words are remembered in both (a piece with a space behind another character would tie words together; a model that has
-one is given whole texts). Null and empty texts, and texts whose joined token bytes differ from space and text on either side, have
+itself. Words are encoded once and remembered, whole texts where that is faster. Null and empty texts, and texts whose joined token bytes differ from space and text on either side, have
 no tokens: zeros and an empty group text. Rows are documents of their own, whatever their doc_ids (repeated rows count as
 often as they are there, null doc_ids stay null). Texts of any length are tokenised whole. An empty table gives an empty
 result; other columns are ignored, whatever their names.
@@ -22,8 +21,12 @@ result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import json
+import re
+from array import array
+from collections.abc import Iterable, Iterator
+from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,80 +34,165 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe
-from quillspark.llm.common import batch_of, bounded_batches, stored
+from quillspark.llm.common import batch_of, bounded_batches, slices, stored, text_or_empty
 
 #: At most so many id pairs are broadcast.
 HOT_PAIRS = 1 << 20
+
 #: Bits of a token entry below its end: an id of up to 17 bits, and the mark of a cut.
 ID_BITS = 18
 MARK = 1 << (ID_BITS - 1)
 
 
+class Words(dict):
+    """Packed ids of words. Those that a slice of texts lacks are encoded together; a full table starts anew."""
+
+    def __init__(self, encode, most: int = 150_000):
+        super().__init__()
+        self.encode, self.most = encode, most
+
+    def learn(self, words: Iterable[str]) -> None:
+        if len(self) > self.most:
+            self.clear()
+        new = [w for w in set(words) if w not in self]
+        self.update(zip(new, self.encode(new), strict=True))
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<i4")
+
+
+class ByteTokenizer:
+    """A tokenizer file of byte-level BPE. Texts up to U+024F go to tiktoken as a whole, where ids follow the order of merges;
+    in others each word that the file's own pre-tokenizer cuts off goes to the model of the tokenizers library."""
+
+    def __init__(self, path: str, odd: tuple[tuple[int, int, str], ...] | None = None):
+        self.path, self.odd, self.byte = path, odd, {c: b for b, c in enumerate(bpe.byte_alphabet())}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        pieces = {bytes(self.byte[c] for c in token): i for token, i in vocab.items()}
+        self.lengths = np.zeros(max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1, np.int64)
+        self.lengths[list(pieces.values())] = [len(p) for p in pieces]
+        made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+        self.wide = re.compile(rf"[^\x00-{chr(bpe.NARROW)}]").search
+        self.whole = None
+        if all(a < b for a, b in zip(made, made[1:], strict=False)) and max(vocab[c] for c in self.byte) < made[0]:
+            import tiktoken
+
+            self.whole = tiktoken.Encoding("file", pat_str=bpe.SPLIT, mergeable_ranks=pieces, special_tokens={}).encode_ordinary
+
+    @cached_property
+    def words(self) -> Words:
+        from tokenizers import Tokenizer
+
+        model, alphabet = Tokenizer.from_file(self.path).model, bpe.byte_alphabet()
+
+        def ids(word: str) -> bytes:
+            # Byte-level tokens of a word are its bytes, whatever the word.
+            return array("I", [t.id for t in model.tokenize("".join([alphabet[b] for b in word.encode()]))]).tobytes()
+
+        return Words(lambda new: map(ids, new))
+
+    @cached_property
+    def split(self):
+        return bpe.ByteBPE(self.path, self.odd).split
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of a space and each text."""
+        out = {i: np.array(self.whole(" " + t), np.int32) for i, t in enumerate(texts) if self.whole and not self.wide(t)}
+        units = {i: self.split(" " + t) for i, t in enumerate(texts) if i not in out}
+        return [out[i] if i in out else x for i, x in zip(range(len(texts)), self._by_words(units, len(texts)), strict=True)]
+
+    def _by_words(self, units: dict[int, list[str]], n: int) -> Iterator[np.ndarray]:
+        if units:
+            self.words.learn(chain.from_iterable(units.values()))
+        return (self.words.ids(units[i]) if i in units else np.zeros(0, np.int32) for i in range(n))
+
+
 class PieceTokenizer:
-    """A sentencepiece model behind a cache of words."""
+    """A sentencepiece model that encodes the units of a text one by one.
 
-    def __init__(self, path: str):
-        import re
+    A unit is a run of spaces and characters of one of two kinds. One kind has ASCII characters that aren't letters, and all that
+    stand beside one of them in a piece; no piece spans two units then, so no merge does. A unit inside a line gets a line
+    break in front while it is encoded, as the model puts a space before what it is given; both are taken off again.
+    """
 
+    def __init__(self, path: str):
         import sentencepiece
 
         self.model = m = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [m.id_to_piece(i) for i in range(m.get_piece_size())]
         self.pieces = [bytes([int(n[3:5], 16)]) if m.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
         self.lengths = np.array([len(p) for p in self.pieces], np.int64)
-        self.blank = np.array([m.piece_to_id("▁")], "<u4").tobytes()
-        self.by_words = not any("▁" in n.lstrip("▁") for n in names) and not m.is_unknown(m.piece_to_id("▁")) and m.encode("  a") != m.encode("a")
-        self.words = re.compile(" +[^ ]*").findall
-        self.cache = bpe.WordCache(self._encode)
-
-    def _encode(self, spaced: str) -> bytes:
-        """Ids of a text that begins with a space, without that space, which the model adds."""
-        return np.array(self.model.encode(spaced[1:]), "<u4").tobytes() if spaced != " " else self.blank
-
-    def encode_bytes(self, text: str) -> bytes:
-        """Packed ids of a text."""
-        if not self.by_words or "▁" in text:  # the model takes this character for a space
-            return self._encode(" " + text)
-        return b"".join(map(self.cache.__getitem__, self.words(" " + text)))
+        whole = [n for i, n in enumerate(names) if not m.is_byte(i) and not m.is_control(i) and not m.is_unknown(i)]
+        marks = {chr(c) for c in range(128) if not chr(c).isalpha() and c != 32}
+        while more := {x for n in whole for a, b in zip(n, n[1:], strict=False) if "▁" not in (a, b) and (a in marks) != (b in marks) for x in (a, b)} - marks:
+            marks |= more
+        self.before = m.encode("\n")
+        apart = not any("▁" in n.lstrip("▁") or "\n" in n for n in whole) and not any(c.isascii() and c.isalpha() for c in marks)
+        self.by_units = apart and self.before == m.encode("\na")[: len(self.before)] and m.encode("  a") != m.encode("a")
+        kind = "".join(map(re.escape, sorted(marks)))
+        self.find = re.compile(f" *[{kind}]+| *[^ {kind}]+| +").findall
+        self.words = Words(self._encode)
+
+    def _encode(self, units: list[str]) -> list[bytes]:
+        """Packed ids of each unit; none for a unit whose tokens have other bytes than it has."""
+        given = [u[1:] if u[0] == " " and len(u) > 1 else "\n" + u for u in units]
+        out = []
+        for u, ids in zip(units, self.model.encode(given, num_threads=1), strict=True):
+            if u[0] != " " or u == " ":
+                ids = ids[len(self.before) :]
+            same = b"".join(map(self.pieces.__getitem__, ids)) == u.encode()
+            out.append(array("I", ids).tobytes() if same else b"")
+        return out
+
+    def units(self, text: str) -> list[str]:
+        # The model takes this character for a space, so a text that has it loses bytes in any case.
+        return [] if "▁" in text else self.find(" " + text) if self.by_units else [" " + text]
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        units = [self.units(t) for t in texts]
+        self.words.learn(chain.from_iterable(units))
+        return [self.words.ids(u) for u in units]
 
 
 @lru_cache(2)
-def piece_tokenizer(path: str) -> PieceTokenizer:
-    return PieceTokenizer(path)
+def tokenizers(byte_path: str, piece_path: str, odd: tuple[tuple[int, int, str], ...]) -> tuple[ByteTokenizer, PieceTokenizer]:
+    return ByteTokenizer(byte_path, odd), PieceTokenizer(piece_path)
 
 
-TOKENS = "doc_id long, a array<int>, a_end array<int>, b array<int>, b_end array<int>"
+TOKENS = "doc_id long, a array<long>, a_end array<int>, b array<long>, b_end array<int>"
 
 
 def tokenise(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id; ids and byte ends of the tokens of both tokenizers, empty where a text has none."""
+    """doc_id; of the tokens of both tokenizers the entries (end times 2^ID_BITS plus id) and byte ends, empty where a text has none."""
     bounded_batches(docs.sparkSession)
     odd = bpe.odd_characters(byte_path)
-    ints = pa.list_(pa.int32())
-    schema = pa.schema([("doc_id", pa.int64()), ("a", ints), ("a_end", ints), ("b", ints), ("b_end", ints)])
+    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+    schema = pa.schema([("doc_id", pa.int64()), ("a", longs), ("a_end", ints), ("b", longs), ("b_end", ints)])
 
     def lists(rows: list[np.ndarray]) -> pa.Array:
         ends = np.cumsum([0, *map(len, rows)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32)))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([rows[0][:0], *rows])))
+
+    def side(tokenizer: ByteTokenizer | PieceTokenizer, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(ends << ID_BITS | ids, ends.astype(np.int32)) for ids in tokenizer.ids(texts) for ends in [np.cumsum(tokenizer.lengths[ids])]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = bpe.tokenizer(byte_path, odd), piece_tokenizer(piece_path)
-        sides = ((first.encode_plain_bytes, first.pieces, np.array([len(p) for p in first.pieces], np.int64), " "), (second.encode_bytes, second.pieces, second.lengths, ""))
-        none = np.zeros(0, np.int32)
-        for b in batches:
-            columns: list[list[np.ndarray]] = [[], [], [], []]
-            for t in b.column(1).to_pylist():
-                found = []
-                for encode, pieces, lengths, before in sides if t else ():
-                    ids = np.frombuffer(encode(before + t), "<u4")
-                    if b"".join(map(pieces.__getitem__, ids.tolist())) != b" " + t.encode():
-                        break
-                    found += [ids, np.cumsum(lengths[ids])]
-                for column, values in zip(columns, found if len(found) == 4 else [none] * 4, strict=True):
-                    column.append(values)
-            yield batch_of(schema, [b.column(0), *map(lists, columns)])
-
-    return docs.select(F.col(f"`{key}`").cast("long"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).mapInArrow(run, TOKENS)
+        both = tokenizers(byte_path, piece_path, odd)
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int32)) * 2
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for start, end in slices(map(len, texts)):
+                part = texts[start:end]
+                rows = []
+                for t, a, b in zip(part, *(side(x, part) for x in both), strict=True):
+                    # Units have the bytes of their tokens or no token, so whole texts are told by their lengths.
+                    n = len(t.encode()) + 1
+                    rows.append((*a, *b) if t and len(a[0]) and len(b[0]) and a[1][-1] == b[1][-1] == n else none)
+                yield batch_of(schema, [batch.column(0).slice(start, end - start), *map(lists, zip(*rows, strict=True))])
+
+    return docs.select(F.col(f"`{key}`").cast("long"), text_or_empty(text)).mapInArrow(run, TOKENS)
 
 
 def let(value: Column, body) -> Column:
@@ -112,19 +200,13 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def marked(ids: Column, ends: Column, cuts: Column) -> Column:
-    """Token entries (end and id) in ascending order with a mark behind the last token of each group."""
-    entries = F.zip_with(ends, ids, lambda e, i: F.shiftleft(e.cast("long"), ID_BITS).bitwiseOR(i))
-    return F.sort_array(F.concat(entries, F.transform(cuts, lambda e: F.shiftleft(e.cast("long"), ID_BITS) + MARK)))
-
-
 def is_mark(entry: Column) -> Column:
     return entry.bitwiseAND(MARK) != 0
 
 
 def last_ids(entries: Column) -> Column:
-    """The id of the last token of each group."""
-    return F.transform(F.filter(entries, lambda v, i: is_mark(F.get(entries, i + 1))), lambda v: v.bitwiseAND(MARK - 1))
+    """The entry of the last token of each group."""
+    return F.filter(entries, lambda v, i: is_mark(F.get(entries, i + 1)))
 
 
 def group_texts(entries: Column) -> Column:
@@ -136,16 +218,18 @@ def group_texts(entries: Column) -> Column:
 def align(tokens: DataFrame) -> DataFrame:
     """doc_id, n_a, n_b; groups: array of texts `a1,a2|b1`; links: array of pairs (id of a times 2^32 plus id of b)."""
 
-    def both(cuts: Column) -> Column:
-        return F.struct(marked(F.col("a"), F.col("a_end"), cuts).alias("a"), marked(F.col("b"), F.col("b_end"), cuts).alias("b"))
+    def both(marks: Column) -> Column:
+        """The tokens of each side in order, with a mark behind the last one of each group."""
+        return F.struct(F.sort_array(F.concat("a", marks)).alias("a"), F.sort_array(F.concat("b", marks)).alias("b"))
 
     def out(m: Column) -> Column:
         # What stands behind the last separator (nothing, or the comma of a text without tokens) falls away.
         groups = F.zip_with(group_texts(m["a"]), group_texts(m["b"]), lambda x, y: F.when((x != "") & (x != ","), F.concat(x, F.lit("|"), y)))
-        links = F.zip_with(last_ids(m["a"]), last_ids(m["b"]), lambda x, y: F.shiftleft(x, 32).bitwiseOR(y))
+        links = F.zip_with(last_ids(m["a"]), last_ids(m["b"]), lambda x, y: F.shiftleft(x.bitwiseAND(MARK - 1), 32).bitwiseOR(y.bitwiseAND(MARK - 1)))
         return F.struct(F.array_compact(groups).alias("groups"), links.alias("links"))
 
-    made = let(F.array_intersect("a_end", "b_end"), lambda cuts: let(both(cuts), out))
+    marks = F.transform(F.array_intersect("a_end", "b_end"), lambda e: F.shiftleft(e.cast("long"), ID_BITS).bitwiseOR(MARK))
+    made = let(marks, lambda m: let(both(m), out))
     sizes = [F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b")]
     return tokens.select("doc_id", *sizes, made.alias("made")).select("doc_id", "n_a", "n_b", "made.groups", "made.links")
 

@@ -70,12 +70,19 @@ def odd_texts():
     return ["", " ", "  ", "x", " x", "x ", "▁", "a▁b", "<|endoftext|>", "\x00", "=" * 500] + ["".join(rnd.choice(pool) for _ in range(rnd.randrange(1, 30))) for _ in range(300)]
 
 
-def test_words_from_the_cache_are_the_library_s(libraries):
+def test_units_give_the_library_s_ids(libraries):
     own = alignment.PieceTokenizer(B)
-    assert own.by_words
-    for t in odd_texts():
-        if t:
-            assert list(memoryview(own.encode_bytes(t)).cast("I")) == libraries[1].encode(t)
+    assert own.by_units
+    rnd = random.Random(8)
+    texts = odd_texts() + ["".join(rnd.choice([*"ab ,.-'\"\n(1²’”–é", "the", "  "]) for _ in range(40)) for _ in range(2000)]
+    for t in texts:
+        if t and "▁" not in t:
+            own.words.learn(own.units(t))
+            assert list(memoryview(b"".join(own.words[u] for u in own.units(t))).cast("I")) == libraries[1].encode(t), t
+    first = alignment.ByteTokenizer(A)
+    for t in texts:
+        first.words.learn(first.units(t))
+        assert list(memoryview(b"".join(first.words[u] for u in first.units(t))).cast("I")) == libraries[0].encode(" " + t, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("hot_pairs", [1 << 20, 50, 1])
