@@ -118,11 +118,8 @@ def clear_expired(cache: DataFrame, now: float) -> tuple[DataFrame, DataFrame]:
 def cleanup(cache: DataFrame, now: float, budget_mb: float = DEFAULTS.cache_budget_mb) -> DataFrame:
     """The cache after expired entries and then, while it is over budget, the least recently used ones have gone."""
     live = cache.filter(is_live(now))
-    never = F.col("last_accessed").isNull()
-    # Groups of an hour of access; entries never read by their other columns.
-    group = F.struct(F.floor(F.col("last_accessed") / 3600), F.when(never, F.col("access_count")), F.when(never, F.col("entry_type")), F.when(never, F.substring("cache_key", 1, 2)))
-    order = [F.col("last_accessed").asc_nulls_first(), F.col("access_count"), F.col("entry_type"), F.col("cache_key")]
-    gone = operations.evict_lru(live, "size_bytes", F.lit(int(budget_mb * 1024 * 1024)), *order, salt=group)
+    order = [F.col("last_accessed"), F.col("access_count"), F.col("entry_type"), F.col("cache_key")]
+    gone = operations.evict_lru(live, "size_bytes", F.lit(int(budget_mb * 1024 * 1024)), *order)
     return live.join(gone.select(*KEY), KEY, "left_anti").select(*cache.columns)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from quillspark.config import DEFAULTS
 from quillspark.functions.text import half_up
+from quillspark.operators import ordered
 
 
 def newest(df: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
@@ -15,9 +16,10 @@ def newest(df: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("rn") <= n)
 
 
-def beyond_newest(df: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
-    """The rows that retention removes: all but the newest n of each key."""
-    return df.withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("rn") > n).drop("rn")
+def beyond_newest(df: DataFrame, key: str, n: int, *recency: Column) -> DataFrame:
+    """The rows that retention removes: all but the newest n of each key. recency: ascending expressions, the last of which
+    tells the rows of a key apart."""
+    return ordered.beyond(df, key, n, list(recency))
 
 
 def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -36,21 +38,11 @@ def rolling_timings(timings: DataFrame, key: str, value: str, n: int, *order: Co
     return kept.groupBy(key).agg(half_up(F.avg(value), 2).alias("avg_ms"), F.count(F.lit(1)).alias("n"))
 
 
-def evict_lru(entries: DataFrame, size: str, budget: Column, *order: Column, salt: Column | None = None) -> DataFrame:
-    """Entries to drop, least recently used first, until the rest fits the budget, with `before` and `total`.
-
-    A running sum over all entries would be one task (it is without salt, for small tables). salt numbers groups that follow
-    the order, nulls first, such as a bucket of the order's first column and, in a struct after it, of the next ones where
-    that is null: sums of the groups come first, then each task sums one group.
-    """
-    entries = entries.withColumn("__g", F.lit(0) if salt is None else salt)
-    inside = F.coalesce(F.sum(size).over(W.partitionBy("__g").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    # One row a group, few enough for one task.
-    groups = entries.groupBy("__g").agg(F.sum(size).alias("__s"))
-    ahead = W.orderBy(F.col("__g").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
-    groups = groups.select("__g", F.coalesce(F.sum("__s").over(ahead), F.lit(0)).alias("__b"), F.sum("__s").over(W.partitionBy(F.lit(0))).alias("total"))
-    joined = entries.withColumn("__i", inside).alias("e").join(groups.alias("g"), F.col("e.__g").eqNullSafe(F.col("g.__g")))
-    return joined.select("e.*", (F.col("__b") + F.col("__i")).alias("before"), "total").filter(F.col("total") - F.col("before") > budget).drop("__g", "__i")
+def evict_lru(entries: DataFrame, size: str, budget: Column, *order: Column, ranges: int | None = None) -> DataFrame:
+    """Entries to drop, least recently used first, until the rest fits the budget, with `before` and `total`. order: ascending
+    expressions, nulls first; the running sum goes over ranges of it, whatever its columns hold."""
+    rows = ordered.running_sum(entries, size, list(order), ranges=ranges)
+    return rows.filter(F.col("total") - F.col("before") > budget)
 
 
 def expired(entries: DataFrame, now: float) -> DataFrame:
@@ -84,8 +76,9 @@ def backoff_delay(attempt: Column, base: float = DEFAULTS.retry_base_s, factor:
     return F.least(F.lit(base) * F.pow(F.lit(factor), attempt - 1), F.lit(cap))
 
 
-def transitions(events: DataFrame, key: str, status: str, *order: Column) -> DataFrame:
-    return events.withColumn("status_from", F.lag(status).over(W.partitionBy(key).orderBy(*order)))
+def transitions(events: DataFrame, key: str, status: str, *order: Column, ranges: int | None = None) -> DataFrame:
+    """events with status_from: the status of the event before it, among those of its key."""
+    return ordered.previous(events, key, status, list(order), "status_from", ranges)
 
 
 def assembled(rows: DataFrame, key: str, order: str, text: str, sep: str = " ") -> DataFrame:

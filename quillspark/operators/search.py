@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.structure import let
+from quillspark.operators import ordered
 
 #: Sort names and their columns.
 SORT_FIELDS = {"created_at": "created_at", "updated_at": "updated_at", "filename": "filename", "status": "status", "confidence": "confidence_score", "size": "file_size"}
+#: Rows before a page from which on it counts ranges of the order first.
+DEEP = 10_000
 #: Fixed value: a term of the index.
 TERM = r"[\p{L}\p{N}]+"
 
@@ -67,12 +70,16 @@ def like_search(docs: DataFrame, text: str) -> DataFrame:
 
 
 def sort_page(docs: DataFrame, by: str = "created_at", descending: bool = True, page: int = 1, size: int = 20, key: str = "id") -> DataFrame:
-    """One page in order, ties by key; a plan of top-k shape for the first pages. Pages below 1 count as 1."""
+    """One page in order, ties by key; a plan of top-k shape for the first pages, of later ones the ranges of the order that they
+    touch are sorted. Pages below 1 count as 1."""
     if size < 1:
         raise ValueError("a page has one row at least")
     c = F.col(SORT_FIELDS.get(by, "created_at") if by != "rank" else "rank")
+    start = (max(page, 1) - 1) * size
+    if start > DEEP:
+        return ordered.page(docs, [(c, descending), (F.col(key), False)], start, size)
     order = c.desc_nulls_last() if descending else c.asc_nulls_first()
-    return docs.orderBy(order, F.col(key)).offset((max(page, 1) - 1) * size).limit(size)
+    return docs.orderBy(order, F.col(key)).offset(start).limit(size)
 
 
 def page_count(total: int, size: int) -> int:

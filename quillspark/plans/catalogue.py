@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quillspark.functions import chunk, structure, text
-from quillspark.operators import operations, search, store
+from quillspark.operators import operations, ordered, search, store
 from quillspark.sources import sinks
 from quillspark.streaming import rolling
 
@@ -288,6 +288,13 @@ def sort_page(t):
     return search.sort_page(library(t("documents")).select("id", "filename", "created_at"), page=3)
 
 
+@query("SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem ORDER BY l_shipdate DESC, l_orderkey, l_linenumber LIMIT 100 OFFSET 40000")
+def deep_page(t):
+    """Page 401 of 100 rows: one range of the order is sorted."""
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    return ordered.page(rows, [(F.col("l_shipdate"), True), (F.col("l_orderkey"), False), (F.col("l_linenumber"), False)], 40000, 100)
+
+
 @query("SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 20.0) AS BIGINT)) AS pages FROM documents")
 def total_pages(t):
     return search.totals(t("documents"))
@@ -466,16 +473,9 @@ def _cache(t) -> DataFrame:
     return t("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("entry_type"), F.floor(F.col("value") * 1000).cast("long").alias("size_bytes"), F.when(F.col("event_id") % 9 != 0, seconds).alias("last_accessed"), (F.col("event_id") % 5).alias("access_count"), (seconds + 3600).alias("expires_at"))
 
 
-def _hours() -> Column:
-    """Groups along the order of eviction: hours of access, and ranges of ids for entries that were never read."""
-    never = F.col("last_accessed").isNull()
-    return F.struct(F.floor(F.col("last_accessed") / 3600), F.when(never, F.col("access_count")), F.when(never, F.floor(F.col("id") / 1000)))
-
-
 @query(f"WITH {_CACHE}, r AS (SELECT id, coalesce(sum(size_bytes) OVER (ORDER BY last_accessed NULLS FIRST, access_count, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size_bytes) OVER () AS total FROM c) SELECT id, CAST(before AS BIGINT) AS before FROM r WHERE total - before > total / 2")
 def lru_evict(t):
-    order = [F.col("last_accessed").asc_nulls_first(), F.col("access_count"), F.col("id")]
-    out = operations.evict_lru(_cache(t), "size_bytes", F.col("total") / 2, *order, salt=_hours())
+    out = operations.evict_lru(_cache(t), "size_bytes", F.col("total") / 2, F.col("last_accessed"), F.col("access_count"), F.col("id"))
     return out.select("id", "before")
 
 
@@ -496,8 +496,7 @@ def cache_by_type(t):
 
 @query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r > 5")
 def retention_prune(t):
-    order = [F.col("ts").desc(), F.col("event_id").desc()]
-    return operations.beyond_newest(t("events").select("event_id", "user_id", "ts"), "user_id", 5, *order).select("event_id", "user_id")
+    return operations.beyond_newest(t("events").select("event_id", "user_id", "ts"), "user_id", 5, F.col("ts"), F.col("event_id")).select("event_id", "user_id")
 
 
 def _log(t) -> DataFrame:

@@ -155,12 +155,12 @@ def test_store(spark):
     assert [r.document_id for r in store.orphans(chunks, docs).collect()] == ["zz"]
 
 
-def test_lru_with_and_without_groups(spark):
+def test_lru_in_one_and_in_many_ranges(spark):
     rows = spark.createDataFrame([(i, None if i % 5 == 0 else float(i * 37 % 50), i % 3 + 1) for i in range(80)], "id int, at double, size long")
-    order = [F.col("at").asc_nulls_first(), F.col("id")]
-    plain = operations.evict_lru(rows, "size", F.lit(60), *order)
-    salted = operations.evict_lru(rows, "size", F.lit(60), *order, salt=F.floor(F.col("at") / 10))
-    assert sorted(ids(plain)) == sorted(ids(salted)) and 0 < plain.count() < 80
+    order = [F.col("at"), F.col("id")]
+    plain = operations.evict_lru(rows, "size", F.lit(60), *order, ranges=1)
+    cut = operations.evict_lru(rows, "size", F.lit(60), *order, ranges=9)
+    assert sorted(ids(plain)) == sorted(ids(cut)) and 0 < plain.count() < 80
 
 
 def test_page_and_transcript(spark):

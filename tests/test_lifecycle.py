@@ -372,4 +372,4 @@ def test_export_names_and_report(spark, tmp_path):
 def test_clean_names_of_operations(spark):
     ev = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k int, t int, v string")
     assert {(r.k, r.v) for r in operations.latest(ev, "k", ["t"]).collect()} == {(1, "b"), (2, "c")}
-    assert {r.v for r in operations.beyond_newest(ev, "k", 1, F.col("t").desc()).collect()} == {"a"}
+    assert {r.v for r in operations.beyond_newest(ev, "k", 1, F.col("t")).collect()} == {"a"}
