@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from quillspark.config import DEFAULTS
 from quillspark.functions.text import safe_filename
@@ -42,22 +41,30 @@ def ingest(files: DataFrame, known: DataFrame, day: Column | None = None, check_
     file whose content is registered, or is that of an earlier file of the batch (by filename), is a duplicate: a success
     without a new document. Rejected files have the reason as error.
     """
-    day = F.current_date() if day is None else day
-    hashed = files if "file_hash" in files.columns else files.withColumn("file_hash", F.sha2("content", 256))
-    rows = hashed.drop("content").withColumn("v", store.validate_upload(F.col("filename"), F.col("file_size"), most))
-    valid = F.col("v.valid")
-    own = F.concat(F.lit("doc_"), F.substring(F.sha2(F.concat_ws("\0", "filename", "file_hash"), 256), 1, 16))
-    rows = rows.withColumn("own", own)
+    rows = checked(files, most)
     if check_duplicates:
         # The first of each content is an aggregate with map-side combine; copies never meet in one task.
-        first = rows.groupBy("file_hash").agg(F.min(F.when(valid, F.struct("filename", "own"))).alias("first"), F.count(F.lit(1)).alias("n"))
+        first = rows.groupBy("file_hash").agg(F.min(F.when(F.col("v.valid"), F.struct("filename", "own"))).alias("first"), F.count(F.lit(1)).alias("n"))
         there = known.groupBy("file_hash").agg(F.min(F.struct("id", "filename")).alias("there"))
         about = first.join(there, "file_hash", "left")
         rows = store.with_facts(rows, about, "file_hash", "n", "own")
     else:
         rows = rows.withColumns({"first": F.struct("filename", "own"), "there": F.lit(None).cast("struct<id:string,filename:string>")})
     of = F.when(F.col("there").isNotNull(), F.col("there")).when(F.col("first.own") != F.col("own"), F.struct(F.col("first.own").alias("id"), F.col("first.filename").alias("filename")))
-    rows = rows.withColumn("of", F.when(valid, of))
+    return results(rows.withColumn("of", F.when(F.col("v.valid"), of)), day)
+
+
+def checked(files: DataFrame, most: int = DEFAULTS.max_upload_bytes) -> DataFrame:
+    """files without content, with file_hash, v (what the checks say) and own (the id that a new document would have)."""
+    hashed = files if "file_hash" in files.columns else files.withColumn("file_hash", F.sha2("content", 256))
+    own = F.concat(F.lit("doc_"), F.substring(F.sha2(F.concat_ws("\0", "filename", "file_hash"), 256), 1, 16))
+    return hashed.drop("content").withColumn("v", store.validate_upload(F.col("filename"), F.col("file_size"), most)).withColumn("own", own)
+
+
+def results(rows: DataFrame, day: Column | None = None) -> DataFrame:
+    """The results of checked rows with `of`: struct(id, filename) of the document whose content a file has, or null."""
+    day = F.current_date() if day is None else day
+    valid = F.col("v.valid")
     new = valid & F.col("of").isNull()
     return rows.select(
         "filename",
@@ -87,18 +94,26 @@ def register(known: DataFrame, uploads: DataFrame, now: float) -> tuple[DataFram
 
     uploads: filename, file_path, file_size, mime_type, file_hash. Of several with one hash the first by filename is new.
     """
+    own = F.concat(F.lit("doc_"), F.substring(F.sha2(F.concat_ws("\0", "filename", "file_hash"), 256), 1, 16))
+    rows = uploads.withColumn("own", own)
+    # The register's id and the first upload of each content: aggregates with map-side combine. Copies of one content never
+    # meet in one task; with_facts tells them by the few contents that are there more than once.
+    first = rows.groupBy("file_hash").agg(F.min(F.struct("filename", "file_path", "own")).alias("first"), F.count(F.lit(1)).alias("n"))
     there = known.groupBy("file_hash").agg(F.min("id").alias("existing_id"))
-    told = uploads.join(there, "file_hash", "left")
-    order = W.partitionBy("file_hash").orderBy("filename", "file_path")
-    fresh = told.filter("existing_id is null").withColumn("rn", F.row_number().over(order)).withColumn("id", F.concat(F.lit("doc_"), F.substring(F.sha2(F.concat_ws("\0", "filename", "file_hash"), 256), 1, 16)))
-    new = fresh.filter("rn = 1").drop("rn", "existing_id").withColumns({"status": F.lit("uploaded"), "created_at": F.lit(now), "updated_at": F.lit(now)})
-    within = fresh.filter("rn > 1").drop("existing_id", "id").join(new.select("file_hash", F.col("id").alias("existing_id")), "file_hash")
-    refused = told.filter("existing_id is not null").unionByName(within.drop("rn"))
-    return new, refused
+    told = store.with_facts(rows, first.join(there, "file_hash", "left"), "file_hash", "n", "own")
+    # Of uploads that are alike in all columns one is new.
+    head = F.col("existing_id").isNull() & (F.struct("filename", "file_path", "own") == F.col("first"))
+    columns = [c for c in uploads.columns]
+    fresh = told.filter(head).groupBy("filename", "file_path", "file_hash", "own").agg(*[F.min(c).alias(c) for c in columns if c not in ("filename", "file_path", "file_hash")], F.count(F.lit(1)).alias("n"))
+    new = fresh.select(*columns, F.col("own").alias("id"), F.lit("uploaded").alias("status"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"))
+    again = fresh.filter("n > 1").select(*columns, F.col("own").alias("existing_id"), F.explode(F.sequence(F.lit(2).cast("long"), F.col("n"))).alias("i")).drop("i")
+    refused = told.filter(~head).select(*columns, F.coalesce("existing_id", "first.own").alias("existing_id"))
+    return new, refused.unionByName(again)
 
 
 def write_files(files: DataFrame, results: DataFrame, base: str) -> None:
-    """Write the contents of the new documents below base, one row a document, dealt by category and day."""
+    """Write the contents of the new documents below base, one row a document, dealt by category and day. Each call appends: a
+    stream that may replay a batch writes below a folder of the batch (streaming.uploads)."""
     new = results.filter("doc_id is not null").select("filename", "doc_id", "stored_path", "file_hash")
     keyed = files.withColumn("file_hash", F.sha2("content", 256))
     rows = keyed.join(new, ["filename", "file_hash"]).dropDuplicates(["doc_id"])
