@@ -52,14 +52,16 @@ def clean_text(c: Column, tags: bool = True, control: bool = True, whitespace: b
 
 
 def normalize_unicode(c: Column, form: str = "NFC") -> Column:
-    """Spark has no such function: an Arrow UDF. Unknown forms count as NFC."""
+    """Spark has no such function: an Arrow UDF, which gets only texts that may change. Below U+0300 every text is in NFC, and
+    ASCII is in every form. Unknown forms count as NFC."""
     form = form if form in ("NFC", "NFD", "NFKC", "NFKD") else "NFC"
 
     @F.pandas_udf("string")
     def normal(texts):
         return texts.str.normalize(form)
 
-    return normal(c)
+    changes = F.regexp_like(c, F.lit(r"[^\x00-\x{2FF}]" if form == "NFC" else r"[^\x00-\x7F]"))
+    return F.coalesce(normal(F.when(changes, c)), c)
 
 
 def expand_ligatures(c: Column) -> Column:

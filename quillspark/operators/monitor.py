@@ -79,15 +79,24 @@ def retained(timing: DataFrame, n: int = DEFAULTS.history_size, *order: Column)
     return operations.newest(timing, "operation", n, *(order or (F.col("timestamp").desc(),)))
 
 
-def dashboard(timing: DataFrame, history: DataFrame | None = None, cache: DataFrame | None = None, points: int = POINTS, kept: int = DEFAULTS.history_size, *order: Column) -> dict[str, DataFrame]:
+def uptime(history: DataFrame, started: Column, now: Column) -> DataFrame:
+    """One row: uptime_seconds (2 digits) since `started`, collection_count of the snapshots since then, system_available."""
+    since = F.count_if(F.col("timestamp") >= started)
+    return history.agg(since.alias("collection_count")).select(half_up((now - started).cast("double"), 2).alias("uptime_seconds"), "collection_count", (F.col("collection_count") > 0).alias("system_available"))
+
+
+def dashboard(timing: DataFrame, history: DataFrame | None = None, cache: DataFrame | None = None, points: int = POINTS, kept: int = DEFAULTS.history_size, *order: Column, started: Column | None = None, now: Column | None = None) -> dict[str, DataFrame]:
     """The dashboard's frames: averages and counts of each operation, its newest points, the latest snapshot and the points of
-    each metric, the cache's statistics (operators.cache.snapshot)."""
+    each metric, with `started` (seconds, as is now: by default this moment) the uptime, the cache's statistics
+    (operators.cache.snapshot)."""
     rows = retained(timing, kept, *order)
     out = {
         "operations": rows.groupBy("operation").agg(half_up(F.avg("duration_ms"), 2).alias("avg_ms"), F.count(F.lit(1)).alias("n")),
         "recent_timings": rows.filter(F.col("rn") <= points).select("operation", "timestamp", F.col("duration_ms").alias("value")),
     }
     if history is not None:
+        if started is not None:
+            out["uptime"] = uptime(history, started, F.unix_micros(F.current_timestamp()) / 1e6 if now is None else now)
         out |= {"system": history.orderBy(F.col("timestamp").desc()).limit(1), "system_history": metric_history(history, points, kept)}
     return out | ({"cache": cache} if cache is not None else {})
 

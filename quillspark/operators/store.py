@@ -101,8 +101,21 @@ def delete_with_artifacts(gone: DataFrame, tables: dict[str, DataFrame], keys: d
     return {name: t.join(gone.select(F.col("id").alias(keys[name])), keys[name], "left_anti") for name, t in tables.items()}
 
 
+def delete_documents(gone: DataFrame, tables: dict[str, DataFrame], keys: dict[str, str], index_path: str | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(delete_with_artifacts, the paths of the stored files that go with the documents). gone: id, and file_path where files
+    are stored. With index_path the documents leave the stored index too, at once; tables and files are the caller's to write
+    and remove."""
+    if index_path:
+        from quillspark.operators import index
+
+        index.delete_documents(gone.select("id"), index_path)
+    paths = gone.select("file_path").filter("file_path is not null").distinct() if "file_path" in gone.columns else gone.select(F.lit(None).cast("string").alias("file_path")).limit(0)
+    return delete_with_artifacts(gone, tables, keys), paths
+
+
 def transaction(spark, changes: dict[str, DataFrame]) -> None:
-    """Replace several tables (path -> rows), each as a whole. All are staged first; if staging fails none changes."""
+    """Replace several tables (path -> rows), one after the other. All are staged first; if staging fails none changes, but
+    a failure between two replacements leaves the first replaced."""
     from quillspark.sources import backup
 
     staged = {}

@@ -12,12 +12,13 @@ import re
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import chunk, structure, text
-from quillspark.operators import cache, extraction, index, ingest, monitor, operations, preprocess, recovery, search, store
+from quillspark.operators import cache, extraction, index, ingest, monitor, operations, preprocess, recovery, search, store, substrings
 from quillspark.plans.catalogue import (
     _FOLD_FROM,
     _FOLD_TO,
@@ -444,6 +445,14 @@ def dashboard_recent(t):
     return monitor.dashboard(_timing(t), None, None, 7, 50, F.col("timestamp").desc(), F.col("event_id").desc())["recent_timings"]
 
 
+@query(f"SELECT {_half_up('(1706659200 - min(epoch(ts)))', 2)} AS uptime_seconds, count(*) AS collection_count, true AS system_available FROM events")
+def dashboard_uptime(t):
+    history = t("events").select((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("timestamp"))
+    # The service began with its first snapshot.
+    started = history.agg(F.min("timestamp")).first()[0]
+    return monitor.uptime(history, F.lit(started), F.lit(1706659200.0))
+
+
 @query("SELECT bool_and(event_type <> 'error') AS all_passed, count(*) FILTER (event_type <> 'error') || '/' || count(*) || ' checks passed' AS summary FROM events")
 def health_summary(t):
     return monitor.health(t("events").select((F.col("event_type") != "error").alias("passed")))
@@ -779,6 +788,23 @@ ORACLES["search_page"] = f"""WITH {LIBRARY}, ft AS ({_LIBRARY_WORDS})
 SELECT id, status, CAST(id % 4 AS BIGINT) AS chunks_count FROM lib JOIN ft USING (id) WHERE list_contains(ts, 'the') AND status = 'stored' AND confidence_score >= 0.3 ORDER BY created_at DESC, id LIMIT 20 OFFSET 20"""
 
 
+def like_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of like_search and of a rarer pattern, by stored trigrams."""
+    table = f"{sf_dir}/documents.parquet"
+    docs = library(spark.read.parquet(table))
+    key = (spark.sparkContext.applicationId, table_state(spark, table), "trigrams")
+    if key not in _STORED:
+        path = work_path(spark, "trigrams")
+        substrings.write_trigrams(docs, path)
+        _STORED[key] = path
+    parts = [substrings.like_search(docs, p, _STORED[key]).select(F.lit(p).alias("pattern"), "id") for p in ("the_a", "Sein%the", "a_")]
+    return reduce(DataFrame.unionAll, parts)
+
+
+QUERIES["like_indexed"] = like_indexed
+ORACLES["like_indexed"] = f"WITH {LIBRARY}, p AS (SELECT unnest(['the_a', 'Sein%the', 'a_']) AS pattern) SELECT pattern, id FROM lib, p WHERE filename ILIKE '%' || pattern || '%' OR extracted_text ILIKE '%' || pattern || '%'"
+
+
 def ranked_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page by relevance of the documents that pass a filter, from the blocks that can hold one of them."""
     docs = library(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -71,8 +71,8 @@ def verify(spark: SparkSession, path: str) -> bool:
 
 
 def replace(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Write rows in place of the table at path: readers see the old table or the new one, never a part. rows may come from
-    the table itself."""
+    """Write rows in place of the table at path. Readers never see a part of a table, but between the two renames none is
+    there. rows may come from the table itself."""
     at, fs = _fs(spark, path)
     new, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
     try:

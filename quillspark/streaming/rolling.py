@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,12 +31,13 @@ def metric_stream(spark: SparkSession, seconds: int = 5) -> DataFrame:
 
 
 def rolling_means(events: DataFrame, key: str = "operation", value: str = "duration_ms", order: str = "timestamp", n: int = DEFAULTS.history_size) -> DataFrame:
-    """For each key with new events: mean and count of its newest n. State is n values a key, however many events come."""
+    """For each key with new events: mean and count of its newest n. State is n values a key, however many events come, kept by
+    a heap of n; late events count if they are among the newest n, and change nothing else."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         kept = list(zip(*state.get, strict=True)) if state.exists else []
         for f in frames:
-            kept = sorted([*kept, *zip(f[order].tolist(), f[value].tolist(), strict=True)])[-n:]
+            kept = heapq.nlargest(n, chain(kept, zip(f[order].tolist(), f[value].tolist(), strict=True)))
         state.update(([a for a, _ in kept], [b for _, b in kept]))
         yield pd.DataFrame({key: [k[0]], "avg_ms": [sum(b for _, b in kept) / len(kept)], "n": [len(kept)]})
 
