@@ -25,7 +25,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property, lru_cache, partial
 from itertools import chain
 
 import numpy as np
@@ -79,7 +79,8 @@ class ByteTokenizer:
         if all(a < b for a, b in zip(made, made[1:], strict=False)) and max(vocab[c] for c in self.byte) < made[0]:
             import tiktoken
 
-            self.whole = tiktoken.Encoding("file", pat_str=bpe.SPLIT, mergeable_ranks=pieces, special_tokens={}).encode_ordinary
+            encoding = tiktoken.Encoding("file", pat_str=bpe.SPLIT, mergeable_ranks=pieces, special_tokens={})
+            self.whole = partial(encoding.encode_to_numpy, disallowed_special=())
 
     @cached_property
     def words(self) -> Words:
@@ -99,7 +100,7 @@ class ByteTokenizer:
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of a space and each text."""
-        out = {i: np.array(self.whole(" " + t), np.int32) for i, t in enumerate(texts) if self.whole and not self.wide(t)}
+        out = {i: self.whole(" " + t).astype(np.int32) for i, t in enumerate(texts) if self.whole and not self.wide(t)}
         units = {i: self.split(" " + t) for i, t in enumerate(texts) if i not in out}
         return [out[i] if i in out else x for i, x in zip(range(len(texts)), self._by_words(units, len(texts)), strict=True)]
 
@@ -200,19 +201,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def is_mark(entry: Column) -> Column:
-    return entry.bitwiseAND(MARK) != 0
-
-
-def last_ids(entries: Column) -> Column:
-    """The entry of the last token of each group."""
-    return F.filter(entries, lambda v, i: is_mark(F.get(entries, i + 1)))
+def group_texts(entries: Column) -> Column:
+    """The decimal ids of each group, joined by commas. A mark is a number that no id is, so it stands out in the joined text;
+    what stands behind the last one (nothing, or the comma of a text without tokens) falls away."""
+    ids = F.transform(entries, lambda v: v.bitwiseAND(2 * MARK - 1)).cast("array<string>")
+    parts = F.split(F.replace(F.concat(F.array_join(ids, ","), F.lit(",")), F.lit(f",{MARK},"), F.lit(";")), ";")
+    return let(parts, lambda p: F.slice(p, F.lit(1), F.size(p) - 1))
 
 
-def group_texts(entries: Column) -> Column:
-    """The decimal ids of each group, joined by commas."""
-    words = F.transform(entries, lambda v: F.when(is_mark(v), ";").otherwise(v.bitwiseAND(MARK - 1).cast("string")))
-    return F.split(F.replace(F.concat(F.array_join(words, ","), F.lit(",")), F.lit(",;,"), F.lit(";")), ";")
+def last_id(group: Column) -> Column:
+    return F.substring_index(group, ",", -1).cast("long")
 
 
 def align(tokens: DataFrame) -> DataFrame:
@@ -222,14 +220,13 @@ def align(tokens: DataFrame) -> DataFrame:
         """The tokens of each side in order, with a mark behind the last one of each group."""
         return F.struct(F.sort_array(F.concat("a", marks)).alias("a"), F.sort_array(F.concat("b", marks)).alias("b"))
 
-    def out(m: Column) -> Column:
-        # What stands behind the last separator (nothing, or the comma of a text without tokens) falls away.
-        groups = F.zip_with(group_texts(m["a"]), group_texts(m["b"]), lambda x, y: F.when((x != "") & (x != ","), F.concat(x, F.lit("|"), y)))
-        links = F.zip_with(last_ids(m["a"]), last_ids(m["b"]), lambda x, y: F.shiftleft(x.bitwiseAND(MARK - 1), 32).bitwiseOR(y.bitwiseAND(MARK - 1)))
-        return F.struct(F.array_compact(groups).alias("groups"), links.alias("links"))
+    def out(g: Column) -> Column:
+        groups = F.zip_with(g["a"], g["b"], lambda x, y: F.concat(x, F.lit("|"), y))
+        links = F.zip_with(g["a"], g["b"], lambda x, y: F.shiftleft(last_id(x), 32).bitwiseOR(last_id(y)))
+        return F.struct(groups.alias("groups"), links.alias("links"))
 
     marks = F.transform(F.array_intersect("a_end", "b_end"), lambda e: F.shiftleft(e.cast("long"), ID_BITS).bitwiseOR(MARK))
-    made = let(marks, lambda m: let(both(m), out))
+    made = let(marks, lambda m: let(both(m), lambda e: let(F.struct(group_texts(e["a"]).alias("a"), group_texts(e["b"]).alias("b")), out)))
     sizes = [F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b")]
     return tokens.select("doc_id", *sizes, made.alias("made")).select("doc_id", "n_a", "n_b", "made.groups", "made.links")
 
