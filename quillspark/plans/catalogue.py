@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quillspark.functions import chunk, structure, text
-from quillspark.operators import operations, ordered, search, store
+from quillspark.operators import operations, ordered, overlap, search, store
 from quillspark.sources import sinks
 from quillspark.streaming import rolling
 
@@ -420,6 +420,17 @@ def overlap_ratio(t):
     return _pairs(t).select("doc_id", "item_id", text.half_up(structure.overlap_ratio(F.lower("text"), F.trim(F.lower("d"))), 4).alias("ratio"))
 
 
+@query(f"""WITH o AS (SELECT doc_id, item_id, lower(b.text) AS a, trim(lower(d.text)) AS b, length(b.text) AS n FROM documents d, benchmark b WHERE b.text <> ''),
+w AS (SELECT *, CASE WHEN n < 20 THEN n ELSE least(100, n // 4) END AS wd FROM o), v AS (SELECT *, CASE WHEN n < 20 THEN n ELSE greatest(1, wd // 2) END AS st FROM w),
+z AS (SELECT doc_id, item_id, len(list_filter(range(0, n - wd + 1, st), lambda i: contains(b, substr(a, i + 1, wd)))) * wd / CAST(n AS DOUBLE) AS ratio FROM v)
+SELECT doc_id, item_id, {_half_up('ratio', 4)} AS ratio FROM z WHERE ratio > 0""")
+def overlap_pairs(t):
+    """Every document against every item, by the windows that they share."""
+    docs = t("documents", True).select(F.col("doc_id").alias("text_id"), F.trim(F.lower("text")).alias("text"))
+    items = t("benchmark").select(F.col("item_id").alias("value_id"), F.lower("text").alias("value"))
+    return overlap.overlaps(items, docs).select(F.col("text_id").alias("doc_id"), F.col("value_id").alias("item_id"), text.half_up(F.col("ratio"), 4).alias("ratio"))
+
+
 @query(f"""WITH {_OVERLAP} SELECT doc_id, CASE WHEN length(b) < 50 THEN false WHEN doc_id % 11 = 0 THEN true WHEN n > 500 THEN true WHEN n > length(b) * 0.5 THEN true WHEN doc_id % 13 = 0 THEN false ELSE n > 50 AND ratio > 0.4 END AS dump FROM z""")
 def text_dump_flag(t):
     p = _pairs(t).withColumn("d", F.trim("d"))
