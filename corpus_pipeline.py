@@ -28,7 +28,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group (links: 0.8 or more of five-word shingles)."""
+    """Keeps the document with the smallest doc_id of each group (links: 0.8 or more of five-word shingles, asked of the
+    pairs that SimHash with the pigeonring, or else shared minima, bring together)."""
     return shingles.keep_one(docs)
 
 

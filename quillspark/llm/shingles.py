@@ -1,8 +1,11 @@
 """Near duplicates by the Jaccard similarity of word shingles: five words, 0.8 or more, checked on the whole sets.
 
-Candidates: a set has ROWS x BANDS minima of multiplied hashes; ROWS equal minima of one band make a bucket. A pair of
-similarity 0.8 has no bucket in common with probability (1 - 0.8^4)^40 < 1e-9, a more similar one with less. The stars of
-the buckets give candidate components, so each pair to link lies within one. Each candidate's set goes once to its
+Candidates come from two steps. Texts are near if their SimHash fingerprints over the same shingles differ in 3 bits at most,
+which the pigeonring of simhash finds, as in op5. At similarity 0.8 fingerprints often differ in more bits (4 to 11 were
+seen, about 10 are expected), for which no pigeonring key is selective; these pairs are found by minima: a set has ROWS x
+BANDS minima of multiplied hashes; ROWS equal minima of one band make a bucket. A pair of similarity 0.8 has no bucket in
+common with probability (1 - 0.8^4)^40 < 1e-9, a more similar one with less. Both give stars, and these give candidate
+components, so each pair to link lies within one. Each candidate's set goes once to its
 component's task, which links what truly has the similarity. Components of more than BLOCK members are dealt into blocks:
 at first each block links its own members, then the largest group found is compared with the members left over, and these
 with each other, but not with itself; so a large group of near copies costs about one more row a member.
@@ -112,16 +115,19 @@ def linked(dealt: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def named(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, fp (the set's name) and keys (its buckets); docs: doc_id and text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """doc_id, fp (the set's name), bits (its SimHash) and keys (its buckets); docs: doc_id and text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("bits", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
+            hashes = [simhash.shingle_hashes(t, words) for t in texts]
+            bits = np.array([simhash.fingerprint_of(t, h) for t, h in zip(texts, hashes, strict=True)], np.uint64).view(np.int64)
+            sets = [np.unique(h) for h in hashes]
             fps = np.array([name_of(s) for s in sets], np.uint64).view(np.int64)
-            yield batch_of(schema, [b.column(0), pa.array(fps), [bands(s).view(np.int64) for s in sets]])
+            yield batch_of(schema, [b.column(0), pa.array(fps), pa.array(bits), [bands(s).view(np.int64) for s in sets]])
 
-    return docs.mapInArrow(run, "doc_id long, fp long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, fp long, bits long, keys array<long>")
 
 
 def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -137,13 +143,25 @@ def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.mapInArrow(run, "root long, fp long, found array<long>")
 
 
+def ring_edges(fps: DataFrame) -> DataFrame:
+    """(a, b) of sets: edges that connect those whose SimHash bits link by the pigeonring; fps: fp and bits."""
+    sets = stored(fps.groupBy("fp").agg(F.min("bits").alias("bits")), "bits")
+    # One set stands for all of equal bits.
+    first = stored(sets.groupBy("bits").agg(F.min("fp").alias("b")), "ring-sets")
+    same = sets.join(first, "bits").filter("fp <> b").select(F.col("fp").alias("a"), "b")
+    links = stored(simhash.bucket_edges(first.select(F.col("bits").alias("fp"))), "ring")
+    one, other = first.toDF("a", "fp_a"), first.toDF("b", "fp_b")
+    return same.unionAll(links.join(one, "a").join(other, "b").select("fp_a", "fp_b"))
+
+
 def candidates(fps: DataFrame) -> DataFrame:
-    """(node, root): candidate components of at least two sets."""
+    """(node, root): candidate components of at least two sets; fps: fp, bits and keys."""
     keyed = fps.groupBy("fp").agg(F.first("keys").alias("keys")).select("fp", F.explode("keys").alias("bucket"))
     keyed = stored(keyed, "bands")
     # Written, so that the join reads two plain tables and AQE can split a hot bucket.
     least = stored(keyed.groupBy("bucket").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).filter("b < most").select("bucket", "b"), "buckets")
-    edges = stored(keyed.join(least, "bucket").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct(), "candidates")
+    edges = keyed.join(least, "bucket").filter("fp <> b").select(F.col("fp").alias("a"), "b")
+    edges = stored(ring_edges(fps).unionAll(edges).distinct(), "candidates")
     discard(keyed)
     discard(least)
     roots = connected_components(edges)

@@ -56,9 +56,12 @@ def shingle_hashes(text: str, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str, shingle: int = 3) -> int:
     """Bit i is 1 if it is set in over half of the XXH64 values of the word shingles, repeats included."""
-    if not text.strip(" \t\n\v\f\r"):
-        return 0
-    return majority(shingle_hashes(text, shingle))
+    return fingerprint_of(text, shingle_hashes(text, shingle))
+
+
+def fingerprint_of(text: str, hashes: np.ndarray) -> int:
+    """The fingerprint of a text whose shingles have these hashes."""
+    return majority(hashes) if text.strip(" \t\n\v\f\r") else 0
 
 
 def majority(hashes: np.ndarray) -> int:
