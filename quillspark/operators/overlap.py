@@ -2,8 +2,9 @@
 
 structure.overlap_ratio for all pairs that share a window: windows of a value (a quarter of its length, 100 characters at
 most, overlapping by half; the whole value if it has fewer than 20) are looked up among all windows of a text by a rolling
-hash over its code points, so a text costs time in proportion to its length for each window length in use, of which there are
-115 at most. What the hash finds is joined by the window's text, which decides. Hashes of at most BLOCK windows are sent to
+hash over its code points. All places of a text are asked for the windows' heads alone (16, 32 or 64 characters, shorter
+windows whole), and whole windows only where a head is found, so a text costs time in proportion to its length for each length
+of a head in use, of which there are 18 at most. What the hash finds is joined by the window's text, which decides. Hashes of at most BLOCK windows are sent to
 the tasks at once; more take further passes over the texts. Pairs without a shared window have no row (their ratio is 0), nor
 have null and empty values and texts. Repeated values and texts count once for each of their rows' keys.
 """
@@ -52,6 +53,14 @@ class Rolling:
             return np.zeros(0, np.uint64)
         return (self.sums[width:] - self.sums[:-width]) * self.down[: self.n - width + 1]
 
+    def at(self, places: np.ndarray, width: int) -> np.ndarray:
+        return (self.sums[places + width] - self.sums[places]) * self.down[places]
+
+
+def head_of(width: int) -> int:
+    """Characters of a window that are looked up first."""
+    return width if width < 16 else 1 << (width.bit_length() - 1)
+
 
 def window_places(n: int) -> tuple[int, range]:
     """Width and starts of the windows of a value of n characters."""
@@ -61,47 +70,55 @@ def window_places(n: int) -> tuple[int, range]:
     return width, range(0, n - width + 1, max(1, width // 2))
 
 
-WINDOWS = "value_id {}, n int, width int, hash long, window string"
+WINDOWS = "value_id {}, n int, width int, head long, hash long, window string"
 
 
 def value_windows(values: DataFrame, value: str, key: str) -> DataFrame:
-    """value_id, n (characters), width, hash, window: a row for each window of each value."""
+    """value_id, n (characters), width, hashes of its head and of all of it, window: a row for each window of each value."""
     kind = values.schema[key].dataType
     rows = values.select(F.col(key).alias("value_id"), F.col(value).alias("v")).filter("v <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 width, starts = window_places(len(v))
-                found = Rolling(v).windows(width)[np.array(starts)].astype(np.int64).tolist()
-                for column, new in zip(out, ([i] * len(starts), [len(v)] * len(starts), [width] * len(starts), found, [v[s : s + width] for s in starts]), strict=True):
+                rolling = Rolling(v)
+                head, found = (rolling.at(np.array(starts), w).astype(np.int64).tolist() for w in (head_of(width), width))
+                for column, new in zip(out, ([i] * len(starts), [len(v)] * len(starts), [width] * len(starts), head, found, [v[s : s + width] for s in starts]), strict=True):
                     column += new
-            types = [b.schema.field(0).type, pa.int32(), pa.int32(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["value_id", "n", "width", "hash", "window"])
+            types = [b.schema.field(0).type, pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["value_id", "n", "width", "head", "hash", "window"])
 
     return rows.mapInArrow(run, WINDOWS.format(kind.simpleString()))
 
 
-def shared_windows(texts: DataFrame, text: str, key: str, wanted: dict[int, np.ndarray]) -> DataFrame:
-    """text_id, window: the distinct windows of each text whose width and hash (sorted, by width) are wanted."""
+def shared_windows(texts: DataFrame, text: str, key: str, wanted: dict[int, np.ndarray], heads: dict[int, np.ndarray]) -> DataFrame:
+    """text_id, window: the distinct windows of each text whose width and hash (sorted, by width) are wanted; heads: the sorted
+    hashes of their heads by length."""
     kind = texts.schema[key].dataType
     rows = texts.select(F.col(key).alias("text_id"), F.col(text).alias("t")).filter("t <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = {}
-        for width, hashes in wanted.items():
-            maps[width] = np.zeros(1 << BITS, bool)
-            maps[width][(hashes >> np.uint64(64 - BITS)).astype(np.int64)] = True
+        for length, hashes in heads.items():
+            maps[length] = np.zeros(1 << BITS, bool)
+            maps[length][(hashes >> np.uint64(64 - BITS)).astype(np.int64)] = True
+
+        def those(hashes: np.ndarray, h: np.ndarray) -> np.ndarray:
+            return hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h
+
         for b in batches:
             ids, found = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rolling, met = Rolling(t), set()
-                for width, hashes in wanted.items():
-                    h = rolling.windows(width)
-                    some = np.flatnonzero(maps[width][(h >> np.uint64(64 - BITS)).astype(np.int64)])
-                    at = np.minimum(np.searchsorted(hashes, h[some]), len(hashes) - 1)
-                    met.update(t[s : s + width] for s in some[hashes[at] == h[some]].tolist())
+                for length, hashes in heads.items():
+                    h = rolling.windows(length)
+                    some = np.flatnonzero(maps[length][(h >> np.uint64(64 - BITS)).astype(np.int64)])
+                    some = some[those(hashes, h[some])]
+                    for width in (w for w in wanted if len(some) and head_of(w) == length):
+                        fit = some[some + width <= rolling.n]
+                        met.update(t[s : s + width] for s in fit[those(wanted[width], rolling.at(fit, width))].tolist())
                 ids += [i] * len(met)
                 found += met
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(found, pa.string())], names=["text_id", "window"])
@@ -116,10 +133,12 @@ def overlaps(values: DataFrame, texts: DataFrame, value: str = "value", text: st
     parts = []
     for i in range(blocks):
         mine = windows.filter(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == i)
-        wanted: dict[int, list[int]] = {}
-        for r in mine.select("width", "hash").distinct().toLocalIterator():  # about `block` pairs of numbers at most
-            wanted.setdefault(r.width, []).append(r.hash)
-        sorted_hashes = {w: np.sort(np.array(h, np.int64).astype(np.uint64)) for w, h in wanted.items()}
-        parts.append(shared_windows(texts, text, text_key, sorted_hashes).join(mine, "window"))
+        wanted: dict[int, set[int]] = {}
+        heads: dict[int, set[int]] = {}
+        for r in mine.select("width", "head", "hash").distinct().toLocalIterator():  # about `block` rows of numbers at most
+            wanted.setdefault(r.width, set()).add(r.hash)
+            heads.setdefault(head_of(r.width), set()).add(r.head)
+        ordered = lambda found: {k: np.sort(np.array(list(h), np.int64).astype(np.uint64)) for k, h in found.items()}
+        parts.append(shared_windows(texts, text, text_key, ordered(wanted), ordered(heads)).join(mine.drop("head"), "window"))
     met = reduce(DataFrame.unionAll, parts).groupBy("text_id", "value_id", "n", "width").agg(F.count(F.lit(1)).alias("hits"))
     return met.select("text_id", "value_id", (F.col("hits") * F.col("width") / F.col("n").cast("double")).alias("ratio"))
