@@ -1,7 +1,7 @@
 """Substring search that scans few documents: stored trigrams find the candidates, LIKE decides.
 
-The table at `path` has a row for each document and distinct trigram (of small letters) of its columns, in folders by a hash of
-the trigram, and beside it how many documents have each trigram. A pattern's literal runs (what % and _ part) give its
+The table at `path` has rows of a trigram (of small letters, 21 bits a character) and the documents of one task's batch that
+have it in one of the columns, in folders by a hash of the trigram, and beside it how many documents have each trigram. A pattern's literal runs (what % and _ part) give its
 trigrams; the few rarest of them are read, documents that have all of these are candidates, and the same LIKE as in a scan is
 asked of them alone. A pattern without a run of three characters is asked of all documents. Null texts have no trigrams.
 """
@@ -10,22 +10,45 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import search
+from quillspark.operators.arrow import bounded_batches
 
 #: Trigrams of a pattern that are looked up; bytes of text for one write task.
 RAREST, TASK_BYTES = 4, 16 << 20
 
 
-def trigrams(c: Column) -> Column:
-    """The distinct trigrams of a text in small letters; linear in its length."""
-    chars = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), ""), lambda x: x != "")
-    pairs = F.zip_with(chars, F.slice(chars, 2, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b))
-    return F.array_distinct(F.array_compact(F.zip_with(pairs, F.slice(chars, 3, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b))))
+def trigrams(text: str) -> np.ndarray:
+    """The trigrams of a text as they stand, by code points; repeats included."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+
+
+def _packed(docs: DataFrame, columns: tuple[str, ...], key: str) -> DataFrame:
+    """gram, key (array): a row for each distinct trigram of an Arrow batch of documents."""
+    bounded_batches(docs.sparkSession, 4000, 4 << 20)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(i, np.unique(trigrams(t))) for c in b.columns[1:] for i, t in enumerate(c.to_pylist()) if len(t) > 2]
+            if not found:
+                continue
+            grams, code = np.unique(np.concatenate([g for _, g in found]), return_inverse=True)
+            pair = np.unique(code * b.num_rows + np.repeat([i for i, _ in found], [len(g) for _, g in found]))
+            ends = np.searchsorted(pair, np.arange(len(grams) + 1) * b.num_rows)
+            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), b.column(0).take(pa.array(pair % b.num_rows)))
+            yield pa.RecordBatch.from_arrays([pa.array(grams), keys], names=["gram", "key"])
+
+    texts = [F.lower(F.coalesce(c, F.lit(""))).alias(f"t{i}") for i, c in enumerate(columns)]
+    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), *texts)
+    return rows.mapInArrow(run, f"gram long, key array<{rows.schema['key'].dataType.simpleString()}>")
 
 
 def write_trigrams(docs: DataFrame, path: str, columns: tuple[str, ...] = ("filename", "extracted_text"), key: str = "id") -> None:
@@ -34,16 +57,15 @@ def write_trigrams(docs: DataFrame, path: str, columns: tuple[str, ...] = ("file
     tasks = max(1, -(-total // TASK_BYTES))
     salts = math.ceil(math.sqrt(tasks))
     buckets = -(-tasks // salts)
-    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.explode(F.array_distinct(F.concat(*[trigrams(F.col(c)) for c in columns]))).alias("gram"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
-    rows = rows.repartition(buckets * salts, "bucket", F.pmod(F.xxhash64("key"), F.lit(salts))).sortWithinPartitions("bucket", "gram", "key")
+    rows = _packed(docs, columns, key).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
+    rows = rows.repartition(buckets * salts, "bucket", F.pmod(F.xxhash64(F.col("key")[0]), F.lit(salts))).sortWithinPartitions("bucket", "gram")
     spark = docs.sparkSession
     meta = spark.range(1).select(F.lit(buckets).alias("buckets"), F.lit(total > 0).alias("texts"))
     if not total:
         meta.write.mode("overwrite").parquet(f"{path}/meta")
         return
     rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/grams")
-    spark.read.parquet(f"{path}/grams").groupBy("bucket", "gram").agg(F.count(F.lit(1)).alias("n")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/counts")
+    spark.read.parquet(f"{path}/grams").groupBy("bucket", "gram").agg(F.sum(F.size("key")).alias("n")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/counts")
     meta.write.mode("overwrite").parquet(f"{path}/meta")
 
 
@@ -52,7 +74,8 @@ def candidates(spark: SparkSession, path: str, text: str, key: str = "id") -> Da
     runs = [r for r in re.split("[%_]", text) if len(r) >= 3]
     if not runs:
         return None
-    asked = spark.range(1).select(F.explode(F.array_distinct(F.concat(*[trigrams(F.lit(r)) for r in runs]))).alias("gram"))
+    small = spark.range(1).select(F.array(*[F.lower(F.lit(r)) for r in runs]).alias("runs")).first().runs
+    asked = spark.createDataFrame([(g,) for g in sorted({g for r in small for g in trigrams(r).tolist()})], "gram long")
     meta = spark.read.parquet(f"{path}/meta").first()
     if not meta.texts:
         return spark.range(0).withColumnRenamed("id", key)
@@ -65,10 +88,10 @@ def candidates(spark: SparkSession, path: str, text: str, key: str = "id") -> Da
     found = {r.gram: r.n for r in spark.read.parquet(f"{path}/counts").filter(here).select("gram", "n").collect()}
     rows = spark.read.parquet(f"{path}/grams")
     if len(found) < len(wanted):
-        return rows.select(F.col("key").alias(key)).limit(0)
+        return rows.select(F.explode("key").alias(key)).limit(0)
     rare = sorted(found, key=lambda g: (found[g], g))[:RAREST]
     met = rows.filter(F.col("bucket").isin(list({wanted[g] for g in rare})) & F.col("gram").isin(rare))
-    return met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(rare)).select(F.col("key").alias(key))
+    return met.select(F.explode("key").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(rare)).select(F.col("key").alias(key))
 
 
 def like_search(docs: DataFrame, text: str, path: str, key: str = "id") -> DataFrame:
